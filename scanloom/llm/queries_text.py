@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm import tokenize
+from scanloom.llm import leaks, tokenize
 from scanloom.tables import table
 
 
@@ -23,5 +23,14 @@ def p8_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return compared.agg(F.count("*").alias("document_count"), F.count_if(F.col("text") == F.col("decoded")).alias("exact")).crossJoin(sizes)
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p8_roundtrip)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+
+
+def p9_items(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents each leaked item is in."""
+    return p9_found(spark, d).groupBy("item_id").agg(F.count("*").alias("document_count"))
+
+
+QUERIES = {f.__name__: f for f in (p8_ids, p8_roundtrip, p9_found, p9_items)}
 SQL: dict[str, str] = {}
