@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm import leaks, tokenize
+from scanloom.llm import leaks, tokenize, truncation
 from scanloom.tables import table
 
 
@@ -32,5 +32,13 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
     return p9_found(spark, d).groupBy("item_id").agg(F.count("*").alias("document_count"))
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p8_roundtrip, p9_found, p9_items)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated(table(spark, d, "documents")).select("doc_id")
+
+
+def p10_sources(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.by_source(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p8_ids, p8_roundtrip, p9_found, p9_items, p10_found, p10_sources)}
 SQL: dict[str, str] = {}
