@@ -34,36 +34,35 @@ CLOSING_LINES = (PAGE, TOTAL, SIGNATURE, NUMBER, TELEPHONE, END_MARK, MACHINE)
 #: The line before a bare name: a short greeting, with a comma or in a language that writes none. Wrapped lines are longer.
 GREETING = r"(?U)^\p{Lu}[\p{L}0-9 ]{3,28}(?:,|\p{L})$"
 
-SENTENCE = r"[.!?。][\"'”’»“)\]]*$"
-#: A point that ends no sentence: after a day or a day and month, inside an amount, in a row of a list, or after an abbreviation that begins a closing line.
-_ABBREVIATIONS = "Tel|Tél|No|Nr|Núm|Num|Gez|Ref|Réf|Pág"
-_DIVIDED = rf"(?:[^0-9\s]\s+(?:[12]?[0-9]|3[01])\.(?:(?:0?[1-9]|1[0-2])\.)?|\$ ?[0-9][0-9,]*\.|[0-9],[0-9]{{3}}\.|[0-9] +[0-9]+\.|(?:^|\n)(?:{_ABBREVIATIONS})\.)$"
+# What follows is matched against the text written backwards, so that every search is anchored and stops where it should.
+SENTENCE = r"^[\"'”’»“)\]]*[.!?。]"
+#: A point that ends no sentence: after a day or a day and month, inside an amount, or in a row of a list.
+_DIVIDED = r"^\.(?:(?:(?:[1-9]0?|[0-2]1)\.)?(?:[0-9][12]?|[01]3)\s+[^0-9\s]|[0-9,]*[0-9] ?\$|[0-9]{3},[0-9]|[0-9]+ +[0-9])"
+_ABBREVIATIONS = ("Tel.", "Tél.", "No.", "Nr.", "Núm.", "Num.", "Gez.", "Ref.", "Réf.", "Pág.")
+_MARKS = r"^(?:[\s\p{Cc}\p{Cf}\xa0 -    　]|…|\.\.\.|\.+(?=\s)|\]\.\.\.\[|\)\.\.\.\(|[\-‐‑–—―~*#_|>\\])*+"
 
-#: White space is a mark itself, so a run of marks never begins after it; that and the possessive repetition keep the search linear.
-_MARKS = r"(?U)(?<!\s)(?:[\s\p{Cc}\p{Cf}]|…|\.\.\.|(?<=\s)\.+|\[\.\.\.\]|\(\.\.\.\)|[\-‐‑–—―~*#_|>\\])++$"
 
-
-def stop(text: Column) -> Column:
-    """The text up to its last character that is neither white space nor a mark of omission."""
-    return F.regexp_replace(text, _MARKS, "")
+def stop_backwards(text: Column) -> Column:
+    """The text up to its last character that is neither white space nor a mark of omission, written backwards."""
+    return F.regexp_replace(F.reverse(text), _MARKS, "")
 
 
 def flat(text: Column) -> Column:
     """White space as single blanks, none at the ends: copies that were wrapped otherwise are equal."""
-    return F.btrim(F.regexp_replace(text, r"(?U)[\s\p{Cc}]+", " "))
+    return F.btrim(F.regexp_replace(text, r"[\s\x00-\x1f\x7f\xa0　]{2,}|[\t\n\x0b\f\r\x00-\x1f\x7f\xa0　]", " "))
 
 
-def looks_complete(stopped: Column) -> Column:
-    """Whether a text without its trailing marks ends with a sentence or a closing line."""
-    text = F.translate(stopped, "\r\f", "\n\n")
-    line = F.substring_index(text, "\n", -1)
-    before = F.substring_index(F.rtrim(F.substr(text, F.lit(1), F.length(text) - F.length(line)), F.lit(" \n")), "\n", -1)
-    line = F.regexp_replace(F.btrim(line), r"^(?:[>|]\s*)+", "")
-    sentence = stopped.rlike(SENTENCE) & ~stopped.rlike("(?U)" + _DIVIDED)
+def looks_complete(backwards: Column) -> Column:
+    """Whether a text without its trailing marks, written backwards, ends with a sentence or a closing line."""
+    lines = F.translate(F.substring_index(backwards, "\n", 4), "\r\f", "\n\n")
+    last = F.substring_index(lines, "\n", 1)
+    before = F.reverse(F.btrim(F.substring_index(F.ltrim(F.substr(lines, F.length(last) + 1), F.lit(" \n")), "\n", 1)))
+    line = F.regexp_replace(F.btrim(F.reverse(last)), r"^(?:[>|]\s*)+", "")
+    sentence = backwards.rlike(SENTENCE) & ~backwards.rlike(_DIVIDED) & ~line.isin(*_ABBREVIATIONS)
     closing = F.lit(False)
     for form in CLOSING_LINES:
         closing = closing | line.rlike(form)
-    named = line.rlike(rf"(?U)^{_NAME}$") & F.btrim(before).rlike(GREETING)
+    named = line.rlike(rf"(?U)^{_NAME}$") & before.rlike(GREETING)
     return sentence | closing | named
 
 
@@ -124,8 +123,8 @@ def cut_in_copies(texts: DataFrame) -> DataFrame:
 
 def _prepared(documents: DataFrame) -> DataFrame:
     given = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "text")
-    stopped = given.withColumn("stopped", stop(F.col("text"))).where("stopped <> ''")
-    return stopped.withColumn("complete", looks_complete(F.col("stopped")))
+    stopped = given.withColumn("backwards", stop_backwards(F.col("text"))).where("backwards <> ''")
+    return stopped.select("doc_id", "source", "text", F.reverse("backwards").alias("stopped"), looks_complete(F.col("backwards")).alias("complete"))
 
 
 def truncated(documents: DataFrame) -> DataFrame:
