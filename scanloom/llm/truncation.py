@@ -20,6 +20,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scanloom.operators.orphans import bloom_of, might_contain
+from scanloom.plans.skew import salted_join
+from scanloom.plans.workspace import Workspace
+
 # Closing lines, as forms rather than lists where the form is enough. \p{L} so that misread letters pass.
 _AMOUNT = r"(?:\$ ?[0-9][0-9,]*\.[0-9]{2}|[0-9][0-9,]*\.[0-9]{2} ?(?:EUR|USD|[€£])|[0-9]+ ?(?:EUR|USD|[€£]))"
 _NAME = r"\p{Lu}[\p{L}0-9'’\-]+ \p{Lu}[\p{L}0-9'’\-]+"
@@ -131,13 +135,22 @@ def truncated(documents: DataFrame) -> DataFrame:
     """Rows (doc_id, source, evidence: 'ending' or 'copy') of the texts that stop inside a word or sentence; documents has doc_id, text, source."""
     ended = _prepared(documents)
     ending = ended.where(~F.col("complete")).select("doc_id", "source", F.lit("ending").alias("evidence"))
-    seeming = ended.where("complete").select("doc_id", "source", flat(F.col("stopped")).alias("text"))
-    known = ended.select(flat(F.col("text")).alias("text")).unionByName(seeming.select("text")).distinct()
-    cut = cut_in_copies(known).select(F.xxhash64("text").alias("hash"), "text")
-    copy = seeming.withColumn("hash", F.xxhash64("text")).join(cut, ["hash", "text"], "left_semi").select("doc_id", "source", F.lit("copy").alias("evidence"))
+    both = F.array(flat(F.col("text")), F.when(F.col("complete"), flat(F.col("stopped"))))
+    known = ended.select(F.explode(F.array_compact(F.array_distinct(both))).alias("text")).distinct()
+    cut = Workspace(documents.sparkSession, "truncated").save(cut_in_copies(known).select(_identity(F.col("text")).alias("hash")), "cut")
+    found = cut.count()
+    if not found:
+        return ending.dropDuplicates(["doc_id"])
+    seeming = ended.where("complete").select("doc_id", "source", _identity(flat(F.col("stopped"))).alias("hash"))
+    likely = seeming.where(might_contain(bloom_of(cut, F.xxhash64("hash"), found), F.xxhash64("hash")))
+    copy = salted_join(likely, cut, "hash", "left_semi").select("doc_id", "source", F.lit("copy").alias("evidence"))
     return ending.unionByName(copy).dropDuplicates(["doc_id"])
 
 
+def _identity(text: Column) -> Column:
+    return F.sha2(text, 256)
+
+
 def by_source(documents: DataFrame) -> DataFrame:
     """Per source: document_count (texts that could be cut), truncated_count, truncated_share, and the length at which most of its cut texts stop (the least of equals)."""
     could = _prepared(documents).groupBy("source").agg(F.countDistinct("doc_id").alias("document_count"))
