@@ -116,7 +116,7 @@ def skew_estimates(page: np.ndarray, reach: float = 15) -> dict:
     hough, lines = X.hough_angles(X.canny(g), least=min(120, g.shape[1] // 3), reach=reach)
     boxes = [r for r in X.regions(X.closed(ink, 1, 10)) if r["w"] > 30 and r["w"] > 3 * r["h"]]
     slopes = [_slope(ink, r) for r in sorted(boxes, key=lambda r: -r["area"])[:100]]
-    return {"projection": float(best), "hough": hough, "hough_confidence": lines, "text": float(np.median(slopes)) if slopes else 0.0, "text_confidence": len(slopes)}
+    return {"projection": round(float(best), 1), "hough": hough, "hough_confidence": lines, "text": float(np.median(slopes)) if slopes else 0.0, "text_confidence": len(slopes)}
 
 
 def _slope(ink: np.ndarray, r: dict) -> float:
