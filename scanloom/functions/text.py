@@ -21,8 +21,18 @@ def _share(count: Column, text: Column) -> Column:
     return F.when(F.length(text) > 0, count / F.length(text))
 
 
+def letters(text: Column, kind: str) -> Column:
+    """How many characters of a class a text has: runs of them are taken out at once, which costs a match a run and not a character."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"{kind}+", ""))
+
+
+def vietnamese_letters(text: Column) -> Column:
+    """Letters of the Vietnamese class. None is ASCII, so the class is only tried on what is left without ASCII."""
+    return letters(F.regexp_replace(text, r"[\x00-\x7f]+", ""), VIETNAMESE_CLASS)
+
+
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), F.lit(1))
+    return F.split(F.btrim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", " ")), " ")
 
 
 def script_shares(text: Column) -> dict[str, Column]:
@@ -31,9 +41,9 @@ def script_shares(text: Column) -> dict[str, Column]:
     for line in MRZ_LINES:
         mrz = mrz | text.rlike(f"(?m){line}")
     return {
-        "latin": _share(F.regexp_count(text, F.lit("[a-zA-Z]")), text),
-        "vietnamese": _share(F.regexp_count(text, F.lit(VIETNAMESE_CLASS)), text),
-        "numeric": _share(F.regexp_count(text, F.lit("[0-9]")), text),
+        "latin": _share(letters(text, "[a-zA-Z]"), text),
+        "vietnamese": _share(vietnamese_letters(text), text),
+        "numeric": _share(letters(text, "[0-9]"), text),
         "mrz": F.when(F.length(text) > 0, mrz.cast("int").cast("double")),
     }
 
@@ -51,12 +61,16 @@ def dominant_script(text: Column) -> Column:
     return first_largest(script_shares(text), "unknown")
 
 
-def language_scores(text: Column) -> dict[str, Column]:
-    """Percent scores by Vietnamese letters, English stop words and French words; null where a language leaves no trace (English: without words)."""
-    tokens = words(text)
-    count = F.size(tokens)
-    vie = F.regexp_count(text, F.lit(VIETNAMESE_CLASS))
-    hits = lambda known: F.size(F.filter(tokens, lambda w: w.isin(known.split())))
+def language_scores(text: Column, tokens: Column | None = None) -> dict[str, Column]:
+    """Percent scores by Vietnamese letters, English stop words and French words; null where a language leaves no trace (English: without words).
+
+    ``tokens``: the text's ``words``, if they have been computed already.
+    """
+    tokens = words(text) if tokens is None else tokens
+    known = F.filter(tokens, lambda w: w != "")
+    count = F.size(known)
+    vie = vietnamese_letters(text)
+    hits = lambda listed: F.size(F.filter(tokens, lambda w: w.isin(listed.split())))
     eng, fra = hits(ENGLISH_WORDS), hits(FRENCH_WORDS)
     return {
         "vie": F.when(vie > 0, F.least(F.lit(95.0), vie / F.length(text) * 200)),
@@ -74,12 +88,19 @@ def combined_language(text: Column, recognised: dict[str, Column] | None = None)
 
 
 def detect(df: DataFrame, text: str) -> DataFrame:
-    """``df`` with ``script`` and ``language``; each score is computed once, in a projection of its own."""
-    shares, scores = script_shares(F.col(text)), language_scores(F.col(text))
-    scored = df.withColumns({f"_share_{k}": c for k, c in shares.items()} | {f"_score_{k}": c for k, c in scores.items()})
-    script = first_largest({k: F.col(f"_share_{k}") for k in shares}, "unknown")
-    language = first_largest({k: F.col(f"_score_{k}") for k in scores}, "eng")
-    return scored.withColumns({"script": script, "language": language}).drop(*[f"_share_{k}" for k in shares], *[f"_score_{k}" for k in scores])
+    """``df`` with ``script`` and ``language``, by way of ``measured``."""
+    out = measured(df, text)
+    shares, scores = [c for c in out.columns if c.startswith("share_")], [c for c in out.columns if c.startswith("score_")]
+    script = first_largest({c[6:]: F.col(c) for c in shares}, "unknown")
+    language = first_largest({c[6:]: F.col(c) for c in scores}, "eng")
+    return out.withColumns({"script": script, "language": language}).drop(*shares, *scores)
+
+
+def measured(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with share_* and score_*: words first, then shares and scores, in projections of their own, so that each is computed once."""
+    shares = {f"share_{k}": c for k, c in script_shares(F.col(text)).items()}
+    scores = {f"score_{k}": c for k, c in language_scores(F.col(text), F.col("_words")).items()}
+    return df.withColumns(shares | {"_words": words(F.col(text))}).withColumns(scores).drop("_words")
 
 
 def ocr_confidence(text: Column, vietnamese: Column) -> Column:
@@ -87,8 +108,8 @@ def ocr_confidence(text: Column, vietnamese: Column) -> Column:
     variety = F.size(F.array_distinct(F.split(F.lower(text), "")))
     base = F.least(F.lit(80.0), F.length(F.regexp_replace(text, r"^\s+|\s+$", "")) / 10)
     bonus = F.when(variety > 10, 15.0).when(variety > 5, 10.0).otherwise(0.0)
-    letters = F.when(vietnamese & text.rlike(VIETNAMESE_CLASS), 20.0).otherwise(0.0)
-    return F.when(text.rlike(r"\S"), F.least(F.lit(95.0), base + bonus + letters)).otherwise(F.when(text.isNotNull(), 0.0))
+    accents = F.when(vietnamese & text.rlike(VIETNAMESE_CLASS), 20.0).otherwise(0.0)
+    return F.when(text.rlike(r"\S"), F.least(F.lit(95.0), base + bonus + accents)).otherwise(F.when(text.isNotNull(), 0.0))
 
 
 def date_count(text: Column) -> Column:

@@ -317,8 +317,8 @@ def script_shares(s, d):
   FROM (SELECT doc_id, text, {_sql_count(_V)} AS v, len(w) AS n, len(list_filter(w, lambda x: x IN {tuple(T.ENGLISH_WORDS.split())})) AS e, len(list_filter(w, lambda x: x IN {tuple(T.FRENCH_WORDS.split())})) AS f
     FROM (SELECT doc_id, text, {_sql_words('text')} AS w FROM {_TEXT}))""")
 def language_scores(s, d):
-    scores = T.language_scores(F.col("text"))
-    return table(s, d, "documents").where("text IS NOT NULL").select("doc_id", *[r6(c).alias(n) for n, c in scores.items()])
+    t = T.measured(table(s, d, "documents").where("text IS NOT NULL").select("doc_id", "text"), "text")
+    return t.select("doc_id", *[r6(F.col(f"score_{n}")).alias(n) for n in ("vie", "eng", "fra")])
 
 
 @query()
