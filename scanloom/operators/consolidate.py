@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanloom.functions.keys import STORE_ROOT, file_path
-from scanloom.operators.shred import CATALOG_LAYOUT, adjacency, children
+from scanloom.operators.shred import CATALOG_LAYOUT, adjacency
 from scanloom.plans.workspace import Workspace
 from scanloom.sources.parquet_blocks import consolidate_parquet
 
@@ -30,7 +30,8 @@ TARGET = 134_217_728
 def storage_paths(catalog: DataFrame) -> DataFrame:
     """The paths in readable ``storage_paths``, one row each; spellings as written."""
     layout = {"storage_paths": CATALOG_LAYOUT["storage_paths"]}
-    return children(adjacency(catalog, "id", layout, children_only=True)).where("path IS NOT NULL").select("path")
+    nodes = adjacency(catalog, "id", layout, children_only=True)
+    return nodes.where("child = 'path' AND kind = 'string' AND (label = 'path' OR label = child_key)").select(F.col("scalar").alias("path"))
 
 
 def small_files(listing: DataFrame, references: list[tuple[DataFrame, Column]], *, limit: int = SMALL, root: str = STORE_ROOT) -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scanloom import queries_data as Q
-from scanloom.operators.consolidate import consolidated_index, plan_bins, small_files
+from scanloom.operators.consolidate import consolidated_index, plan_bins, small_files, storage_paths
 from scanloom.operators.orphans import Reference, find_orphans
 from scanloom.operators.shred import adjacency, catalog_children, children
 from scanloom.plans.skew import salted_join
@@ -64,6 +64,11 @@ def test_small_files_cases(spark):
     assert consolidated_index(got.limit(0)).count() == 0
 
 
+def test_storage_paths_of_one_kind_are_all_named(spark):
+    df = spark.createDataFrame([("a", '[{"kind":"processed","path":"/x"},{"kind":"processed","path":"/y"},{"kind":"k","path":null}]'), ("b", '{"root":"/r","paths":{"preview":"z"}}'), ("c", "[")], "id string, storage_paths string")
+    assert rows(storage_paths(df), "path") == [("/x",), ("/y",), ("z",)]
+
+
 def test_bins_hold_each_file_once(spark):
     files = spark.range(500).select(F.concat(F.lit("/f"), "id").alias("path"), F.col("id").alias("file_id"), (F.col("id") % 37 + 1).alias("size_bytes"))
     got = plan_bins(files, target=200, slices=3)
