@@ -104,6 +104,14 @@ class SortedRuns:
         return hashed.limit(0) if hits is None else hits.drop("hash", "salt")
 
 
+    def close(self) -> None:
+        """Forgets the runs and removes their files; results must have been saved."""
+        for _, t in self.runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {t}")
+            self.ws.drop(t)
+        self.runs = []
+
+
 def keys_of(df: DataFrame, digest: Column, row: Column) -> DataFrame:
     return df.select(F.unhex(digest).alias("key"), row.cast("bigint").alias("row")).where("key IS NOT NULL")
 
@@ -113,4 +121,6 @@ def seen_before(history: DataFrame, arrivals: DataFrame, name: str, *, verify: b
     runs = SortedRuns(arrivals.sparkSession, name)
     runs.append(history.select("key", F.lit(BEFORE).cast("bigint").alias("row")))
     runs.append(arrivals)
-    return runs.probe(arrivals, verify=verify).select("row").distinct()
+    found = runs.ws.save(runs.probe(arrivals, verify=verify).select("row").distinct(), "found")
+    runs.close()
+    return found

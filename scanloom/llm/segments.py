@@ -59,6 +59,11 @@ class SegmentIndex:
         rows = self.entries(idents).select("entry", "hash", "digest", "first").repartition(self.buckets, "entry")
         rows.write.mode("append").format("parquet").option("path", self.ws.path(self.table)).bucketBy(self.buckets, "entry").sortBy("entry").saveAsTable(self.table)
 
+    def close(self) -> None:
+        """Forgets the index and removes its files; results must have been saved."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        self.ws.drop(self.table)
+
     def probe(self, idents: DataFrame, errors: int = ERRORS) -> DataFrame:
         """For each of the idents (hash, digest) that has a match: the least ``first`` among all matches, as ``seen``."""
         p, r = self.entries(idents.select("hash", "digest")).alias("p"), self.spark.table(self.table).alias("r")
@@ -87,6 +92,7 @@ def repeats(hashes: DataFrame, *, name: str = "segments") -> DataFrame:
         if n >= 1:
             part = ws.save(index.probe(batch), f"seen-{n}")
             found = part if found is None else found.unionByName(part)
+    index.close()
     if found is None:
         return spark.createDataFrame([], "seen_id bigint, new_id bigint")
     new = records.where("batch_no >= 1").select("id", "hash", "digest")
