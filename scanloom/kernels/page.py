@@ -304,3 +304,65 @@ def synthetic(width: int, height: int, skew: float = 0.0, *, pages: int = 1, gap
                     g[y : y + max(2, height // 100), x : min(int(left + each), x + n)] = 30
                     x += n + 4
     return X.rotate(g, -skew, expand=False) if skew else g
+
+
+# ---- layout, regions of interest, outputs
+
+
+def thumbnail(page: np.ndarray, most: int = 200) -> np.ndarray:
+    return shrink(page, most)
+
+
+def ink_boxes(page: np.ndarray) -> dict[str, list[dict]]:
+    """Boxes that by size and shape may be form fields, signatures, barcodes or logos."""
+    g = X.gray(page)
+    found = X.regions(X.closed(g < X.otsu(g) + 1, 3, 3))
+    kinds = {
+        "form_field": lambda r, a, n: 1000 < n < 50_000 and a > 2,
+        "signature": lambda r, a, n: 500 < n < 20_000 and 1.5 < a < 8 and r["area"] / n < 0.5,
+        "barcode": lambda r, a, n: 1000 < n < 30_000 and 2 < a < 10 and r["area"] / n > 0.5,
+        "logo": lambda r, a, n: 1000 < n < 20_000 and 0.5 < a < 2 and r["area"] / n > 0.3,
+    }
+    return {k: [{n: r[n] for n in "xywh"} for r in found if test(r, r["w"] / r["h"], r["w"] * r["h"])] for k, test in kinds.items()}
+
+
+def white_background(g: np.ndarray, level: int = 240, calm: float = 150) -> np.ndarray:
+    """Bright pixels, and those of bright surroundings without structure, made white."""
+    a = g.astype(float)
+    mean = X.box(a, 15)
+    spread = X.box(a * a, 15) - mean**2
+    return np.where((g >= level) | ((spread < calm) & (g > 150)), 255, g).astype(np.uint8)
+
+
+def clean_background(g: np.ndarray, alpha: float = 0.3) -> np.ndarray:
+    """What shines through from the back taken out: the page set off against its blurred self."""
+    blur = X.box(g, 31)
+    return np.clip(np.rint(blur + (1 + alpha) * (g - blur)), 0, 255).astype(np.uint8)
+
+
+def text_region(page: np.ndarray, margin: int = 20) -> np.ndarray:
+    """What is of interest: the text's box on a mostly white page, else the gray page with its colours kept where there are any."""
+    g = X.gray(page)
+    if (g > 240).mean() > 0.6:
+        ink = X.opened(X.closed(g < 200, 5, 5), 2, 2)
+        ys, xs = np.nonzero(ink)
+        if len(ys):
+            h, w = g.shape
+            return page[max(0, ys.min() - margin) : min(h, ys.max() + margin + 1), max(0, xs.min() - margin) : min(w, xs.max() + margin + 1)]
+        return page
+    if page.ndim == 3 and np.any([m.mean() > 0.01 for m in ink_masks(page).values()]):
+        return gray_with_colour(page)
+    return g
+
+
+def looks_multipage(g: np.ndarray) -> bool:
+    """More than a tenth of the rows hold next to no ink compared with the mean."""
+    ink = (g < 200).mean(1)
+    return bool((ink < 0.1 * ink.mean()).mean() > 0.1)
+
+
+def orientation_confidence(g: np.ndarray) -> float:
+    """How much more the page has of horizontal than of vertical strokes."""
+    ink = g < X.otsu(g) + 1
+    across, down = float(X.opened(ink, 1, 15).mean()), float(X.opened(ink, 15, 1).mean())
+    return min(1.0, across / max(down, 0.001)) if across > down else 0.5

@@ -137,3 +137,26 @@ def evict_prefix(df: DataFrame, part: list[str], order: list[str], size: str, to
     w = Window.partitionBy(*part).orderBy(*order)
     before = F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1))
     return df.withColumn("freed_before", F.coalesce(before, F.lit(0))).where(F.col("freed_before") < to_free)
+
+
+# ---- new rows
+
+
+def new_documents(files: DataFrame, now: datetime) -> DataFrame:
+    """Catalogue rows for files (filename, original_path, file_size, and others): id, lower-case suffix, media type, status pending."""
+    suffix = F.lower(F.nullif(F.regexp_extract("filename", r"(\.[^.]+)$", 1), F.lit("")))
+    original = F.coalesce("original_filename", "filename") if "original_filename" in files.columns else F.col("filename")
+    return files.withColumns(
+        {"id": F.uuid(), "original_filename": original, "file_extension": suffix, "mime_type": media_type(F.col("filename")), "status": F.lit("pending"), "created_at": F.lit(now).cast("timestamp_ntz")}
+    )
+
+
+def checksums(files: DataFrame, key: str, name: str = "path", checksum: str = "checksum", size: str = "size_bytes") -> DataFrame:
+    """Per key: bytes, and a map of names to checksums. A key's map holds its files; give keys of bounded size (a document, not a store)."""
+    pairs = F.map_from_entries(F.sort_array(F.collect_set(F.struct(name, checksum))))
+    return files.where(F.col(name).isNotNull()).groupBy(key).agg(F.sum(size).alias("bytes"), pairs.alias("checksums"))
+
+
+def alive(entries: DataFrame, now: datetime) -> DataFrame:
+    """Cache entries (expires_at) that have not expired."""
+    return entries.where(F.col("expires_at") > F.lit(now).cast("timestamp_ntz"))

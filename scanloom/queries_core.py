@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scanloom.functions import rules as R
+from scanloom.functions import scalars as Z
 from scanloom.functions import text as T
 from scanloom.functions.keys import digest, document_key, hash64
 from scanloom.operators import catalog as C
@@ -527,3 +528,53 @@ def access_tracking(s, d):
 def pages_after_deletion(s, d):
     gone = _catalog(s, d).where("status = 'failed'").select(F.col("id").alias("document_id"))
     return C.without(_pages(s, d).select("id", "document_id"), gone, "document_id").select("id")
+
+
+# ---- sets, joins by range, more scalar functions
+
+
+@query(f"""SELECT side, count(*) AS n FROM (
+  SELECT 'union' AS side, k FROM (SELECT page_hash AS k FROM {PAG} UNION SELECT page_hash FROM pages)
+  UNION ALL SELECT 'intersect', k FROM (SELECT page_hash AS k FROM {PAG} INTERSECT SELECT page_hash FROM pages)
+  UNION ALL SELECT 'except', k FROM (SELECT page_hash AS k FROM {PAG} EXCEPT SELECT page_hash FROM pages)) GROUP BY side""")
+def set_operations(s, d):
+    a, b = _pages(s, d).select("page_hash"), table(s, d, "pages").select("page_hash")
+    sides = {"union": a.union(b).distinct(), "intersect": a.intersect(b), "except": a.subtract(b)}
+    out = None
+    for name, df in sides.items():
+        part = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("side"), "n")
+        out = part if out is None else out.unionByName(part)
+    return out.where("n > 0")
+
+
+@query("""SELECT user_id, event_id, event_type, row_number() OVER w AS nth, rank() OVER (PARTITION BY user_id ORDER BY event_type) AS type_rank, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS last_five
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+def ranked_events(s, d):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    last = F.sum("value").over(w.rowsBetween(-4, 0))
+    return table(s, d, "events").select("user_id", "event_id", "event_type", F.row_number().over(w).alias("nth"), F.rank().over(Window.partitionBy("user_id").orderBy("event_type")).alias("type_rank"), r6(last).alias("last_five"))
+
+
+@query("SELECT event_id, strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H') AS hour_begin, count(*) OVER (PARTITION BY event_type, time_bucket(INTERVAL 1 HOUR, ts)) AS in_hour FROM events")
+def hourly_windows(s, d):
+    hour = F.date_trunc("hour", F.col("ts").cast("timestamp"))
+    return table(s, d, "events").select("event_id", F.date_format(hour, "yyyy-MM-dd HH").alias("hour_begin"), F.count("*").over(Window.partitionBy("event_type", hour)).alias("in_hour"))
+
+
+@query(f"""SELECT id, round((612 - w * k) / 2, 6) AS x, round((792 - h * k) / 2, 6) AS y FROM (SELECT id, w, h, least(612.0 / w, 792.0 / h) * 0.9 AS k FROM (SELECT id, (page_number % 40 * 50 + 300)::DOUBLE AS w, (page_size_bytes % 3000 + 300)::DOUBLE AS h FROM {PAG}))""")
+def pdf_geometry(s, d):
+    box = Z.fitted_box((F.col("page_number") % 40 * 50 + 300).cast("double"), (F.col("page_size_bytes") % 3000 + 300).cast("double"))
+    return _pages(s, d).select("id", r6(box["x"]).alias("x"), r6(box["y"]).alias("y"))
+
+
+@query(f"""SELECT folder, count(*) AS file_count, sum(size_bytes) AS bytes, md5(string_agg(checksum, ',' ORDER BY path, checksum)) AS manifest FROM (SELECT DISTINCT path, checksum, size_bytes, regexp_extract(path, '/(vol[0-9]+/[0-9]+/[0-9]+/[0-9a-f-]+)/', 1) AS folder FROM stored_files WHERE path IS NOT NULL AND checksum IS NOT NULL) WHERE folder <> '' GROUP BY folder""")
+def folder_manifests(s, d):
+    f = table(s, d, "stored_files").where("path IS NOT NULL AND checksum IS NOT NULL").select("path", "checksum", "size_bytes", F.regexp_extract("path", "/(vol[0-9]+/[0-9]+/[0-9]+/[0-9a-f-]+)/", 1).alias("folder")).distinct()
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("path", "checksum"))), lambda x: x["checksum"])
+    return f.where("folder <> ''").groupBy("folder").agg(F.count("*").alias("file_count"), F.sum("size_bytes").alias("bytes"), F.md5(F.array_join(listed, ",")).alias("manifest"))
+
+
+@query(f"SELECT id, regexp_replace(regexp_extract(coalesce(processed_image_path, original_image_path), '([^/]*)$', 1), '\\.[^.]*$', '') || '_result.png' AS result FROM {PAG} WHERE coalesce(processed_image_path, original_image_path) IS NOT NULL")
+def result_names(s, d):
+    p = _pages(s, d)
+    return p.select("id", Z.result_name(C.page_image(p), F.lit(1), F.lit(1)).alias("result")).where("result IS NOT NULL")

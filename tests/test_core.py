@@ -276,3 +276,58 @@ def test_sessions_and_windows(spark, log):
     assert state.sessions(df, "k", "ts", "v", gap="30 minutes").count() == 24
     assert state.sessions(df, "k", "ts", "v", gap="2 hours").count() == 3
     assert state.windows(df, "k", "ts", "v", length="1 hour").count() == 24
+
+
+# ---- scalars, SQL functions, command line
+
+
+def test_scalars(spark):
+    from scanloom.functions import scalars as Z
+
+    iso = lambda x: one(spark, Z.iso_timestamp(F.lit(x)).cast("string"))[0]
+    assert iso("2024-05-01T10:00:00Z") == iso("2024-05-01T12:00:00+02:00") == iso("2024-05-01T10:00:00") == "2024-05-01 10:00:00"
+    assert iso("2024-05-01") == "2024-05-01 00:00:00" and iso("soon") is None
+    assert one(spark, Z.pdf_date(F.lit("D:20240501101112+02'00'")).cast("string"), Z.pdf_date(F.lit("x")))[0] == "2024-05-01 10:11:12"
+    name = lambda *x: one(spark, Z.download_name(*[F.lit(v).cast("string") for v in x]))[0]
+    assert name("http://h/a/b.pdf?x=1", None, None) == "b.pdf"
+    assert name("http://h/a", 'attachment; filename="c d.png"', "image/png") == "c d.png"
+    assert name("http://h/", None, "application/pdf; q=1") == "downloaded_file.pdf" and name("http://h/scan", None, "image/png") == "scan.png"
+    assert one(spark, Z.result_name(F.lit("/in/a.b.png"), F.lit(2), F.lit(3)), Z.result_name(F.lit("c"), F.lit(1), F.lit(1))) == ["a.b_result2.png", "c_result.png"]
+    df = spark.createDataFrame([(1, None)], "b int, a string")
+    assert df.select(Z.parameter_hash("a", "b")).first() == df.select(Z.parameter_hash("b", "a")).first()
+    assert '"image_dimensions":"3x4"' in one(spark, Z.audit_fingerprint(F.lit(3), F.lit(4), F.lit(5), F.lit(1.234), F.lit(2.0), F.lit(0.12345), F.lit("n")))[0]
+    assert one(spark, Z.hit_rate(F.lit(0), F.lit(0)), Z.hit_rate(F.lit(1), F.lit(3))) == [0.0, 25.0]
+
+
+def test_sql_functions(spark):
+    from scanloom.functions.registry import register
+
+    assert "scan_children" in register(spark)
+    digest = "ab" * 32
+    got = spark.sql(f"SELECT scan_digest('SHA-256={digest.upper()}') AS a, scan_document_key('{{AB-1}}') AS b, scan_hamming(7, 1) AS c, scan_similarity(30) AS d, scan_quality_level(61) AS e").first()
+    assert tuple(got) == (digest, "ab1", 2, 0, "good")
+    spark.createDataFrame([("x", '["a",null,"b"]')], "id string, j string").createOrReplaceTempView("steps_view")
+    assert rows(spark.sql("SELECT id, c.child_key FROM steps_view, LATERAL scan_children(j, 'steps') c"), "id", "child_key") == [("x", "0"), ("x", "2")]
+
+
+def test_command_line(spark, tmp_path):
+    from scanloom import cli
+
+    made = P.synthetic_pages(spark.createDataFrame([(1,), (2,), (9,)], "id long"), "id", 120, 160).select("id", "image")
+    inside, out = str(tmp_path / "in"), str(tmp_path / "out")
+    files.write_files(files.encode(made).select(F.concat(F.lit("p"), "id", F.lit(".png")).alias("name"), "content"), inside).collect()
+    o = cli.options(["--mode", "orient_skew_crop", "--input", inside, "--output", out])
+    written = cli.run(spark, o).collect()
+    assert sorted(r.path.split("/")[-1] for r in written) == ["p1_result.png", "p2_result.png"]
+    files.list_files(spark, inside, content=True).limit(3).select(F.sha2("content", 256).alias("page_hash")).write.parquet(str(tmp_path / "index"))
+    o = cli.options(["--mode", "orient_only", "--input", inside, "--output", out, "--index", str(tmp_path / "index")])
+    assert cli.run(spark, o).count() == 0
+
+
+def test_new_rows(spark):
+    df = spark.createDataFrame([("A.PDF", "/in/A.PDF", 5)], "filename string, original_path string, file_size long")
+    got = C.new_documents(df, datetime(2024, 1, 1)).first()
+    assert (got.file_extension, got.mime_type, got.status, got.original_filename, len(got.id)) == (".pdf", "application/pdf", "pending", "A.PDF", 36)
+    f = spark.createDataFrame([("k", "b", "2", 3), ("k", "a", "1", 4), ("k", None, "x", 1)], "k string, path string, checksum string, size_bytes long")
+    r = C.checksums(f, "k").first()
+    assert (r.bytes, r.checksums) == (7, {"a": "1", "b": "2"})

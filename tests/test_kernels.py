@@ -155,3 +155,20 @@ def test_png_holds_the_pixels(text_page):
     start = png.index(b"IDAT") + 4
     raw = np.frombuffer(zlib.decompress(png[start : -(4 + 12)]), np.uint8).reshape(560, 401)
     assert (raw[:, 1:] == text_page).all()
+
+
+def test_regions_of_interest(text_page):
+    part = P.text_region(text_page)
+    assert part.shape[0] < text_page.shape[0] and part.shape[1] < text_page.shape[1]
+    assert P.text_region(np.full((40, 40), 90, np.uint8)).shape == (40, 40)
+    assert P.text_region(np.full((40, 40), 255, np.uint8)).shape == (40, 40)
+    assert max(P.thumbnail(text_page).shape) == 200
+    assert set(P.ink_boxes(text_page)) == {"form_field", "signature", "barcode", "logo"}
+
+
+def test_backgrounds(text_page):
+    noisy = np.clip(text_page.astype(int) - 10, 0, 255).astype(np.uint8)
+    assert (P.white_background(noisy)[text_page == 255] == 255).mean() > 0.99
+    assert P.clean_background(text_page).shape == text_page.shape
+    assert P.looks_multipage(text_page) in (True, False)
+    assert P.orientation_confidence(text_page) > P.orientation_confidence(X.rotate(text_page, 90)) - 1e-9
