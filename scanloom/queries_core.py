@@ -240,7 +240,7 @@ def node_throughput(s, d):
     return _catalog(s, d).groupBy("processing_node").agg(F.count("*").alias("document_count"), r6(100.0 * done / F.count("*")).alias("success_percent"), r6(F.try_divide(F.count("*"), F.sum("processing_time"))).alias("documents_a_second"))
 
 
-@query("""SELECT coalesce(folder, 'all') AS folder, count(*) AS file_count, sum(size_bytes) AS bytes FROM (SELECT DISTINCT ON (file_id) regexp_extract(path, '/(vol[0-9]+)/', 1) AS folder, size_bytes FROM stored_files) GROUP BY ROLLUP (folder)""")
+@query("""SELECT coalesce(folder, 'all') AS folder, count(*) AS file_count, sum(size_bytes)::BIGINT AS bytes FROM (SELECT DISTINCT ON (file_id) regexp_extract(path, '/(vol[0-9]+)/', 1) AS folder, size_bytes FROM stored_files) GROUP BY ROLLUP (folder)""")
 def storage_statistics(s, d):
     f = table(s, d, "stored_files").dropDuplicates(["file_id"]).select(F.coalesce(F.regexp_extract("path", "/(vol[0-9]+)/", 1), F.lit("")).alias("folder"), "size_bytes")
     return f.rollup("folder").agg(F.count("*").alias("file_count"), F.sum("size_bytes").alias("bytes")).withColumn("folder", F.coalesce("folder", F.lit("all")))
@@ -485,7 +485,7 @@ def greedy_batches(s, d):
     return one.select("document", F.size(F.array_distinct(S.greedy_batches(F.transform("pages", lambda p: p["page_size_bytes"]), most_size=1_000_000))).alias("batches"))
 
 
-@query("SELECT e.event_id, (SELECT o.o_orderkey FROM orders o WHERE o.o_custkey = e.user_id % 1500 AND o.o_orderdate <= e.ts ORDER BY o.o_orderdate DESC, o.o_orderkey DESC LIMIT 1) AS order_key FROM events e WHERE e.event_id % 1 = 0")
+@query("SELECT e.event_id, (SELECT o.o_orderkey FROM orders o WHERE o.o_custkey = e.user_id % 1500 AND o.o_orderdate <= e.ts ORDER BY o.o_orderdate DESC, o.o_orderkey DESC LIMIT 1) AS order_key FROM events e")
 def as_of_join(s, d):
     e = table(s, d, "events").select("event_id", (F.col("user_id") % 1500).alias("k"), F.col("ts").alias("at"))
     o = table(s, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("order_key"))
@@ -503,12 +503,17 @@ def status_machine(s, d):
     return C.status_now(table(s, d, "events").select("user_id", status.alias("status"), F.col("ts").alias("at")), "user_id")
 
 
-@query(f"SELECT key, CASE WHEN b IS NULL THEN 'missing' WHEN a IS NULL THEN 'new' WHEN a.s IS DISTINCT FROM b.s THEN 'size_changed' WHEN a.h IS DISTINCT FROM b.h THEN 'hash_changed' ELSE 'ok' END AS verdict FROM (SELECT id AS key, file_size AS s, content_hash AS h FROM {CAT} WHERE page_count % 7 <> 0 OR page_count IS NULL) a FULL JOIN (SELECT id AS key, file_size + (CASE WHEN page_count % 5 = 0 THEN 1 ELSE 0 END) AS s, CASE WHEN page_count % 3 = 0 THEN 'x' ELSE content_hash END AS h FROM {CAT} WHERE page_count % 11 <> 0 OR page_count IS NULL) b USING (key)".replace("CASE WHEN b IS NULL", "CASE WHEN b.key IS NULL").replace("WHEN a IS NULL", "WHEN a.key IS NULL"))
+_LISTED = "SELECT path AS key, min_by(size_bytes, file_id) AS s, min_by(checksum, file_id) AS h FROM stored_files WHERE path IS NOT NULL AND modified_at {} TIMESTAMP '2024-07-01' GROUP BY path"
+
+
+@query(f"""SELECT key, CASE WHEN b.key IS NULL THEN 'missing' WHEN a.key IS NULL THEN 'new' WHEN a.s IS DISTINCT FROM b.s THEN 'size_changed' WHEN a.h IS DISTINCT FROM b.h THEN 'hash_changed' ELSE 'ok' END AS verdict
+  FROM ({_LISTED.format('<')}) a FULL JOIN ({_LISTED.format('>=')}) b USING (key)""".replace("min_by(size_bytes, file_id)", "arg_min_null(size_bytes, file_id)").replace("min_by(checksum, file_id)", "arg_min_null(checksum, file_id)"))
 def integrity_check(s, d):
-    c, n = _catalog(s, d), F.col("page_count")
-    before = c.where((n % 7 != 0) | n.isNull()).select(F.col("id").alias("key"), F.col("file_size").alias("size"), F.col("content_hash").alias("hash"))
-    after = c.where((n % 11 != 0) | n.isNull()).select(F.col("id").alias("key"), (F.col("file_size") + F.when(n % 5 == 0, 1).otherwise(0)).alias("size"), F.when(n % 3 == 0, "x").otherwise(F.col("content_hash")).alias("hash"))
-    return C.integrity(before, after, "key")
+    """The listing before a day against the listing from then on."""
+    f = table(s, d, "stored_files").where("path IS NOT NULL")
+    first = lambda df: df.groupBy(F.col("path").alias("key")).agg(F.min_by(F.struct("size_bytes", "checksum"), "file_id").alias("x")).select("key", F.col("x.size_bytes").alias("size"), F.col("x.checksum").alias("hash"))
+    day = F.lit(datetime(2024, 7, 1)).cast("timestamp_ntz")
+    return C.integrity(first(f.where(F.col("modified_at") < day)), first(f.where(F.col("modified_at") >= day)), "key")
 
 
 @query(f"SELECT c.id, coalesce(m.language_detected, c.file_type) AS file_type FROM {CAT} c LEFT JOIN (SELECT document_id, min(language_detected) AS language_detected FROM {META} WHERE document_id IS NOT NULL GROUP BY 1) m ON m.document_id = c.id")
@@ -567,7 +572,7 @@ def pdf_geometry(s, d):
     return _pages(s, d).select("id", r6(box["x"]).alias("x"), r6(box["y"]).alias("y"))
 
 
-@query(f"""SELECT folder, count(*) AS file_count, sum(size_bytes) AS bytes, md5(string_agg(checksum, ',' ORDER BY path, checksum)) AS manifest FROM (SELECT DISTINCT path, checksum, size_bytes, regexp_extract(path, '/(vol[0-9]+/[0-9]+/[0-9]+/[0-9a-f-]+)/', 1) AS folder FROM stored_files WHERE path IS NOT NULL AND checksum IS NOT NULL) WHERE folder <> '' GROUP BY folder""")
+@query(f"""SELECT folder, count(*) AS file_count, sum(size_bytes)::BIGINT AS bytes, md5(string_agg(checksum, ',' ORDER BY path, checksum)) AS manifest FROM (SELECT DISTINCT path, checksum, size_bytes, regexp_extract(path, '/(vol[0-9]+/[0-9]+/[0-9]+/[0-9a-f-]+)/', 1) AS folder FROM stored_files WHERE path IS NOT NULL AND checksum IS NOT NULL) WHERE folder <> '' GROUP BY folder""")
 def folder_manifests(s, d):
     f = table(s, d, "stored_files").where("path IS NOT NULL AND checksum IS NOT NULL").select("path", "checksum", "size_bytes", F.regexp_extract("path", "/(vol[0-9]+/[0-9]+/[0-9]+/[0-9a-f-]+)/", 1).alias("folder")).distinct()
     listed = F.transform(F.sort_array(F.collect_list(F.struct("path", "checksum"))), lambda x: x["checksum"])

@@ -11,10 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scanloom.sources.parquet_blocks import filesystem
+
 IMAGE_SUFFIXES = ("png", "jpg", "jpeg", "bmp", "tiff", "tif")
 
 
@@ -106,7 +107,7 @@ def write_files(df: DataFrame, folder: str, name: str = "name", content: str = "
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib
 
-        fs, base = (pafs.LocalFileSystem(), "/" + folder[5:].lstrip("/")) if folder.startswith("file:") else pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder)
+        fs, base = filesystem(folder)
         for frame in frames:
             out = []
             for n, c in zip(frame[name], frame[content]):

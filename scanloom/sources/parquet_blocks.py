@@ -181,13 +181,13 @@ def _moved(group: dict, read, write, at: int, ordinal: int) -> tuple[dict, int]:
 def merge_files(paths: list[str], output: str) -> dict:
     """Copies the blocks of ``paths`` into ``output``; the counts of the report. ``output`` appears only when complete."""
     total = {"files": len(paths), "row_groups": 0, "rows": 0}
-    fs, target = _filesystem(output)
+    fs, target = filesystem(output)
     fs.create_dir(posixpath.dirname(target), recursive=True)
     part, footer, groups, at = f"{target}.part", None, [], 4
     with fs.open_output_stream(part) as out:
         out.write(MAGIC)
         for path in paths:
-            source_fs, source = _filesystem(path)
+            source_fs, source = filesystem(path)
             with source_fs.open_input_file(source) as file:
                 own = read_footer(file)
                 if footer is None:
@@ -217,10 +217,13 @@ def merge_files(paths: list[str], output: str) -> dict:
     return total
 
 
-def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
+def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or URL, and the path in it."""
     if path.startswith("file:"):
         return pafs.LocalFileSystem(), "/" + path[5:].lstrip("/")
-    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+    if "://" not in path:
+        return pafs.LocalFileSystem(), path
+    return pafs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
 
 
 def consolidate_parquet(spark: SparkSession, folder: str, output: str, *, target: int = 134_217_728) -> DataFrame:
