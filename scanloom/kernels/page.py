@@ -366,3 +366,11 @@ def orientation_confidence(g: np.ndarray) -> float:
     ink = g < X.otsu(g) + 1
     across, down = float(X.opened(ink, 1, 15).mean()), float(X.opened(ink, 15, 1).mean())
     return min(1.0, across / max(down, 0.001)) if across > down else 0.5
+
+
+def comparison(before: np.ndarray, after: np.ndarray, gap: int = 10) -> np.ndarray:
+    """Two pages side by side, in BGR, the lower one filled up with white."""
+    sides = [np.repeat(p[..., None], 3, -1) if p.ndim == 2 else p for p in (before, after)]
+    h = max(p.shape[0] for p in sides)
+    filled = [np.pad(p, ((0, h - p.shape[0]), (0, 0), (0, 0)), constant_values=255) for p in sides]
+    return np.concatenate([filled[0], np.full((h, gap, 3), 255, np.uint8), filled[1]], 1)

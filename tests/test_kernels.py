@@ -172,3 +172,8 @@ def test_backgrounds(text_page):
     assert P.clean_background(text_page).shape == text_page.shape
     assert P.looks_multipage(text_page) in (True, False)
     assert P.orientation_confidence(text_page) > P.orientation_confidence(X.rotate(text_page, 90)) - 1e-9
+
+
+def test_comparison(text_page):
+    both = P.comparison(text_page, text_page[:100])
+    assert both.shape == (560, 810, 3) and (both[:, :400, 0] == text_page).all() and (both[100:, 410:] == 255).all()
