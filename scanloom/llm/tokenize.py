@@ -184,7 +184,7 @@ def encode(df: DataFrame, key: str, text: str, *, vocabulary: str = VOCABULARY,
 
 
 def decode(df: DataFrame, key: str, ids: str, *, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Rows (``key`` bigint, text string); bytes that are no UTF-8 become replacement characters."""
+    """Rows (``key`` bigint, text string, token_count int); bytes that are no UTF-8 become replacement characters."""
     shared = df.sparkSession.sparkContext.broadcast(Vocabulary.read(vocabulary).hex_of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +203,7 @@ def decode(df: DataFrame, key: str, ids: str, *, vocabulary: str = VOCABULARY) -
             for d, raw in db.execute(DECODE).fetchall():
                 texts[d] = None if raw is None else bytes.fromhex(raw).decode("utf-8", "replace")
             db.unregister("tokens")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[key, "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pc.list_value_length(lists)], names=[key, "text", "token_count"])
 
     rows = df.selectExpr(f"CAST(`{key}` AS BIGINT) AS `{key}`", f"`{ids}`")
-    return rows.mapInArrow(run, f"`{key}` bigint, text string")
+    return rows.mapInArrow(run, f"`{key}` bigint, text string, token_count int")
