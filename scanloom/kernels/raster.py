@@ -141,39 +141,33 @@ def canny(g: np.ndarray, low: float = 50, high: float = 150) -> np.ndarray:
 
 
 def label(mask: np.ndarray) -> tuple[np.ndarray, int]:
-    """8-connected components: numbers from 1, by runs of rows and union of touching runs."""
+    """8-connected components: numbers from 1. Runs of the rows are linked to those they touch above, and hooked to the least until stable."""
     h, w = mask.shape
     edge = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
     rows, starts = np.nonzero(edge == 1)
     _, ends = np.nonzero(edge == -1)
-    parent = np.arange(len(rows))
-    first = np.searchsorted(rows, np.arange(h + 1))
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for y in range(1, h):
-        a, b = first[y - 1], first[y]
-        stop_a, stop_b = first[y], first[y + 1]
-        while a < stop_a and b < stop_b:
-            if starts[a] <= ends[b] and starts[b] <= ends[a]:
-                i, j = find(a), find(b)
-                if i != j:
-                    parent[max(i, j)] = min(i, j)
-            if ends[a] < ends[b]:
-                a += 1
-            else:
-                b += 1
-    roots = np.array([find(i) for i in range(len(rows))], dtype=np.int64)
-    _, number = np.unique(roots, return_inverse=True) if len(roots) else (None, np.zeros(0, np.int64))
+    n = len(rows)
+    if not n:
+        return np.zeros((h, w), np.int64), 0
+    base = rows * (w + 2)
+    above = base - (w + 2)
+    first, stop = np.searchsorted(base + ends, above + starts), np.searchsorted(base + starts, above + ends, "right")
+    count = np.maximum(stop - first, 0)
+    b = np.repeat(np.arange(n), count)
+    a = np.arange(len(b)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+    root = np.arange(n)
+    while True:
+        x, y = root[a], root[b]
+        if (x == y).all():
+            break
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+    number = np.unique(root, return_inverse=True)[1] + 1
     out = np.zeros((h, w + 1), np.int64)
-    if len(rows):
-        np.add.at(out, (rows, starts), number + 1)
-        np.add.at(out, (rows, ends), -(number + 1))
-    return out.cumsum(1)[:, :w], int(number.max() + 1) if len(rows) else 0
+    out[rows, starts] += number
+    out[rows, ends] -= number
+    return out.cumsum(1)[:, :w], int(number.max())
 
 
 def regions(mask: np.ndarray) -> list[dict]:
@@ -236,18 +230,20 @@ def rotate(page: np.ndarray, degrees: float, *, expand: bool = True, fill: int =
         return np.rot90(page, int(degrees // 90) % 4).copy()
     h, w = page.shape[:2]
     t = np.deg2rad(degrees)
-    c, s = np.cos(t), np.sin(t)
+    c, s = float(np.cos(t)), float(np.sin(t))
     H, W = (int(np.ceil(abs(h * c) + abs(w * s))), int(np.ceil(abs(w * c) + abs(h * s)))) if expand else (h, w)
     y, x = np.mgrid[0:H, 0:W].astype(F32)
     y, x = y - (H - 1) / 2, x - (W - 1) / 2
     sx, sy = c * x - s * y + (w - 1) / 2, s * x + c * y + (h - 1) / 2
     x0, y0 = np.floor(sx).astype(int), np.floor(sy).astype(int)
     fx, fy = sx - x0, sy - y0
-    p = np.pad(page.astype(F32), ((1, 1), (1, 1), *[(0, 0)] * (page.ndim - 2)), constant_values=fill)
-    cx, cy = np.clip(x0 + 1, 0, w), np.clip(y0 + 1, 0, h)
+    p = np.pad(page, ((1, 1), (1, 1), *[(0, 0)] * (page.ndim - 2)), constant_values=fill)
+    cell = np.clip(y0 + 1, 0, h) * (w + 2) + np.clip(x0 + 1, 0, w)
+    flat = p.reshape((h + 2) * (w + 2), *page.shape[2:])
     if page.ndim == 3:
         fx, fy = fx[..., None], fy[..., None]
-    out = (p[cy, cx] * (1 - fx) + p[cy, cx + 1] * fx) * (1 - fy) + (p[cy + 1, cx] * (1 - fx) + p[cy + 1, cx + 1] * fx) * fy
+    at = lambda step: np.take(flat, cell + step, axis=0).astype(F32)
+    out = (at(0) * (1 - fx) + at(1) * fx) * (1 - fy) + (at(w + 2) * (1 - fx) + at(w + 3) * fx) * fy
     inside = (x0 >= -1) & (x0 < w) & (y0 >= -1) & (y0 < h)
     out = np.where(inside[..., None] if page.ndim == 3 else inside, out, fill)
     return np.clip(np.rint(out), 0, 255).astype(np.uint8)
