@@ -43,6 +43,29 @@ def test_survivors_cases(spark):
     assert set(fused) == {G, "0" * 16} and fused[G].processing_status == "duplicate" and fused["0" * 16].file_size is None
 
 
+def test_dates_come_before_the_learned_precedence(spark):
+    groups = [f"{n:016x}" for n in range(20)]
+    t = lambda d: datetime(2024, 1, d)
+    # In most groups new is followed by pending and duplicate.
+    data = [(10 * n + i, groups[n], t(d), v) for n in range(10) for i, (v, d) in enumerate((("new", 1), ("pending", 2), ("duplicate", 3)))]
+    cases = {
+        10: [("duplicate", 1), ("new", 2)],  # the dates contradict the majority
+        11: [("new", 5), ("duplicate", None)],
+        12: [("duplicate", 5), ("new", None)],
+        13: [("new", 5), ("duplicate", 5)],
+        14: [("new", None), ("duplicate", None), ("pending", None)],
+        15: [("duplicate", 1), ("new", 2), ("duplicate", None)],
+        16: [("new", 5), ("other", None), ("pending", None), ("new", None)],
+        17: [("other", 5), ("duplicate", None)],
+        18: [(None, 9), ("new", 5), ("new", 5), ("new", 4)],
+    }
+    data += [(10 * n + i, groups[n], d and t(d), v) for n, case in cases.items() for i, (v, d) in enumerate(case)]
+    df = spark.createDataFrame([(i, g, 10, t(1), seen, "1x1", v) for i, g, seen, v in data], HASHES)
+    got = {r.duplicate_group_id: (r.processing_status, r.processing_status_id % 10) for r in survivors.survivors(spark, df).collect()}
+    assert all(got[groups[n]] == ("duplicate", 2) for n in range(10))
+    assert {n: got[groups[n]] for n in cases} == {10: ("new", 1), 11: ("duplicate", 1), 12: ("duplicate", 0), 13: ("duplicate", 1), 14: ("duplicate", 1), 15: ("new", 1), 16: ("pending", 2), 17: ("other", 0), 18: ("new", 1)}
+
+
 def test_precedence_is_learned(spark):
     data = [(g, v, datetime(2024, 1, d)) for g in range(4) for v, d in (("new", 1), ("pending", 2), ("duplicate", 3))] + [(9, "duplicate", datetime(2024, 1, 1)), (9, "new", datetime(2024, 1, 2)), (9, None, datetime(2024, 1, 2)), (9, "pending", None)]
     df = spark.createDataFrame(data, "g int, v string, t timestamp_ntz")
