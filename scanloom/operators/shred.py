@@ -1,11 +1,14 @@
-"""Deeply nested JSON of varying shape, shredded into an adjacency table and a flat table of child objects.
+"""Deeply nested JSON of varying shape, shredded into an adjacency table and flat tables of child objects and of their scalars.
 
 ``adjacency`` stores one row a node: the row it belongs to, the column, the node's number
 (in the order written), its parent's number, label (field name), ordinal (position in a
-list), kind and scalar; nodes that are a child object, and the scalars right below one,
-also name that child and its key. ``children`` joins the object nodes with their scalar
-children and pivots: both carry the same (row, child, key), so the join is one grouping,
-which removes repeated rows on the way.
+list), kind and scalar; nodes that are a child object, and all scalars below one down to
+the next child, also name that child, its key and their path from there. ``children`` joins the object nodes with the
+scalars right below and pivots those that children have in common: both carry the same (row, child, key), so the join is one
+grouping, which removes repeated rows on the way. ``attributes`` is the table linked to it that has every scalar of every child.
+
+A path names fields and positions from the child down, joined by dots (``params.limits.low``, ``bbox.0``); it is empty for the
+child itself. Dots and backslashes in a field's name are written after a backslash.
 
 What counts as a child, per layout of a column:
 
@@ -20,7 +23,7 @@ Defined cases: null, blank and invalid JSON have no nodes; text that itself hold
 stands for that JSON, however often it is wrapped; null entries count for positions but
 are no children, and so does a path entry whose path is null; a single object in place of a list has
 position 0; a task without any id and rows without a key have no children; of values that share
-a key within one row, the greatest wins.
+a key within one row, the greatest wins in ``children`` and all are in ``attributes``.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ADJACENCY = "parent_id string, source string, node int, parent int, label string, ordinal int, kind string, scalar string, child string, child_key string"
+ADJACENCY = "parent_id string, source string, node int, parent int, label string, ordinal int, kind string, scalar string, child string, child_key string, path string"
 _NAMES = [x.split()[0] for x in ADJACENCY.split(", ")]
 _TYPES = [{"string": pa.string(), "int": pa.int32()}[x.split()[1]] for x in ADJACENCY.split(", ")]
 
@@ -97,10 +100,10 @@ CHILD = {"steps": "step", "tasks": "task", "paths": "path", "boundaries": "bound
 
 
 def shred(layout: str, root, emit) -> None:
-    """Calls emit(node, parent, label, ordinal, kind, scalar, child, child_key) for each node of ``root``."""
+    """Calls emit(node, parent, label, ordinal, kind, scalar, child, child_key, path) for each node of ``root``."""
     count = 0
 
-    def add(value, parent, label, ordinal, child, key) -> int:
+    def add(value, parent, label, ordinal, child, key, path) -> int:
         nonlocal count
         if isinstance(value, dict):
             kind, scalar = "object", None
@@ -112,11 +115,11 @@ def shred(layout: str, root, emit) -> None:
             kind, scalar = "null", None
         else:
             kind, scalar = ("boolean" if isinstance(value, bool) else "number"), json.dumps(value)
-        emit(count, parent, label, ordinal, kind, scalar, child, key)
+        emit(count, parent, label, ordinal, kind, scalar, child, key, path)
         count += 1
         return count - 1
 
-    # what: "look" for the container, "in" a child that may hold regions, or None. A stack, so that depth is no limit.
+    # what: "look" for the container, "within" a child that may hold regions, or None. child, key, path: the child above and the way from it. A stack, so that depth is no limit.
     container = root
     if isinstance(root, dict):
         field = {"steps": "steps", "tasks": "tasks", "paths": "paths", "boundaries": "boundaries"}[layout]
@@ -124,57 +127,53 @@ def shred(layout: str, root, emit) -> None:
             container = None
     elif layout == "boundaries":
         container = None
-    todo = [(root, -1, None, None, "container" if container is not None else "look", None, None)]
+    todo = [(root, -1, None, None, "container" if container is not None else "look", None, None, None)]
     while todo:
-        value, parent, label, ordinal, what, child, key = todo.pop()
+        value, parent, label, ordinal, what, child, key, path = todo.pop()
         value = unwrap(value)
         scalar = not isinstance(value, (dict, list))
-        entity = what in ("child", "region")
-        shown = child if entity or scalar else None
+        shown = (child, key, path) if scalar or what in ("child", "region") else (None, None, None)
         if what == "container":
             entries, single = _entries(layout, value)
-            me = parent if single else add(value, parent, label, ordinal, None, None)
-            inner = [(v, me, k, i, "child" if c is not None else None, CHILD[layout] if c is not None else None, c) for c, v, k, i in entries]
+            me = parent if single else add(value, parent, label, ordinal, None, None, None)
+            inner = [(v, me, k, i, *(("child", CHILD[layout], c, "") if c is not None else (None, None, None, None))) for c, v, k, i in entries]
         elif what == "regions":
             listed = value if isinstance(value, list) else [value]
-            me = add(value, parent, label, ordinal, None, None) if isinstance(value, list) else parent
+            me = add(value, parent, label, ordinal, None, None, None) if isinstance(value, list) else parent
             inner = []
             for i, v in enumerate(map(unwrap, listed)):
                 if isinstance(v, dict):
-                    inner.append((v, me, None, i, "region", "region", f"{key}.{i}"))
+                    inner.append((v, me, None, i, "region", "region", f"{key}.{i}", ""))
                 else:
-                    inner.append((v, me, None, i, None, None, None))
+                    inner.append((v, me, None, i, None, child, key, _below(path, i) if isinstance(value, list) else path))
         else:
-            me = add(value, parent, label, ordinal, shown, key if shown else None)
-            below = (child, key) if entity else (None, None)
+            me = add(value, parent, label, ordinal, *shown)
             inner = []
+            inside = "within" if layout == "tasks" and what in ("child", "region", "within") else None
             if isinstance(value, dict):
                 for k, v in value.items():
                     if what == "look":
-                        go = "container" if k == layout else "look"
-                        inner.append((v, me, k, None, go, None, None))
-                    elif layout == "tasks" and what in ("child", "region", "within"):
-                        inner.append((v, me, k, None, "regions", None, key) if k == "regions" else _within(v, me, k, None, below, key))
+                        inner.append((v, me, k, None, "container" if k == layout else "look", None, None, None))
                     else:
-                        inner.append((v, me, k, None, None, *below))
+                        inner.append((v, me, k, None, "regions" if inside and k == "regions" else inside, child, key, _below(path, k)))
             elif isinstance(value, list):
                 for i, v in enumerate(value):
-                    if layout == "tasks" and what in ("child", "region", "within"):
-                        inner.append(_within(v, me, None, i, below, key))
-                    else:
-                        inner.append((v, me, None, i, "look" if what == "look" else None, *below))
+                    inner.append((v, me, None, i, "look" if what == "look" else inside, child, key, _below(path, i)))
         todo.extend(reversed(inner))
 
 
-def _within(value, parent, label, ordinal, below, key):
-    """A node inside a task: a scalar belongs to the child above, anything else may hold regions further down."""
-    if isinstance(value, (dict, list)) or isinstance(unwrap(value), (dict, list)):
-        return value, parent, label, ordinal, "within", None, key
-    return value, parent, label, ordinal, None, *below
+def _below(path: str | None, step: str | int) -> str | None:
+    """The path one field or position further down; None outside children."""
+    if path is None:
+        return None
+    if isinstance(step, str):
+        step = step.replace("\\", "\\\\").replace(".", "\\.") or "\\"
+    return f"{path}.{step}" if path else str(step)
 
 
-def adjacency(df: DataFrame, key: str, layouts: dict[str, str], *, children_only: bool = False) -> DataFrame:
-    """The adjacency table of the JSON columns in ``layouts``; with ``children_only`` without the nodes that belong to no child."""
+def adjacency(df: DataFrame, key: str, layouts: dict[str, str], *, children_only: bool = False, scalars_only: bool = False) -> DataFrame:
+    """The adjacency table of the JSON columns in ``layouts``; with ``children_only`` of the children and the scalars right below them only, with ``scalars_only`` of all scalars of children only."""
+    some = children_only or scalars_only
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,11 +181,13 @@ def adjacency(df: DataFrame, key: str, layouts: dict[str, str], *, children_only
             keys = batch.column(0).to_pylist()
             for i, (name, layout) in enumerate(layouts.items()):
                 for row, text in zip(keys, batch.column(i + 1).to_pylist()):
-                    if row is None or text is None or (children_only and layout == "boundaries" and "boundaries" not in text and "\\u" not in text):
+                    if row is None or text is None or (some and layout == "boundaries" and "boundaries" not in text and "\\u" not in text):
                         continue
                     value, ok = parse(text)
                     if ok and children_only:
-                        shred(layout, value, lambda *x, r=row, n=name: rows.append((r, n, *x)) if x[6] is not None else None)
+                        shred(layout, value, lambda *x, r=row, n=name: rows.append((r, n, *x)) if x[6] is not None and "." not in x[8] else None)
+                    elif ok and scalars_only:
+                        shred(layout, value, lambda *x, r=row, n=name: rows.append((r, n, *x)) if x[6] is not None and x[4] not in ("object", "list") else None)
                     elif ok:
                         shred(layout, value, lambda *x, r=row, n=name: rows.append((r, n, *x)))
             fields = list(zip(*rows)) if rows else [[]] * len(_NAMES)
@@ -204,12 +205,12 @@ def children(nodes: DataFrame) -> DataFrame:
     label, ordinal = F.col("label"), F.col("ordinal")
     own = F.col("kind").isin("string", "number", "boolean")
     return (
-        nodes.where("child IS NOT NULL")
+        nodes.where("child IS NOT NULL AND NOT contains(path, '.')")
         .groupBy("parent_id", "child", "child_key")
         .agg(
             _pick(own & ((label == "step") | (label.isNull() & (F.col("child") == "step")) | label.isin("task_id", "kind"))).alias("name"),
             _pick(label == "status").alias("status"),
-            _pick(label.isin("seconds", "ms")).cast("double").alias("seconds"),
+            F.coalesce(_pick(label == "seconds").cast("double"), _pick(label == "ms").cast("double") / 1000).alias("seconds"),
             _pick(label == "type").alias("type"),
             _pick(label == "confidence").cast("double").alias("confidence"),
             _pick(own & (F.col("child") == "path") & ((label == "path") | (label == F.col("child_key")))).alias("path"),
@@ -219,7 +220,18 @@ def children(nodes: DataFrame) -> DataFrame:
     )
 
 
+def attributes(nodes: DataFrame) -> DataFrame:
+    """One row a scalar of a child object: parent_id, child, child_key, path, kind, value; those of ``children``'s columns too, as written."""
+    scalars = nodes.where("child IS NOT NULL AND kind NOT IN ('object', 'list')")
+    return scalars.select("parent_id", "child", "child_key", "path", "kind", F.col("scalar").alias("value")).distinct()
+
+
 def catalog_children(catalog: DataFrame, pages: DataFrame) -> DataFrame:
     """The flat table of all children of the catalogue and its pages."""
     nodes = adjacency(catalog, "id", CATALOG_LAYOUT, children_only=True).unionByName(adjacency(pages, "id", PAGE_LAYOUT, children_only=True))
     return children(nodes)
+
+
+def catalog_attributes(catalog: DataFrame, pages: DataFrame) -> DataFrame:
+    """The flat table of all scalars of the children of the catalogue and its pages."""
+    return attributes(adjacency(catalog, "id", CATALOG_LAYOUT, scalars_only=True).unionByName(adjacency(pages, "id", PAGE_LAYOUT, scalars_only=True)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scanloom.operators.consolidate import consolidated_index, small_files, storage_paths
 from scanloom.operators.orphans import Reference, find_orphans, from_epoch, month
-from scanloom.operators.shred import catalog_children
+from scanloom.operators.shred import catalog_attributes, catalog_children
 from scanloom.tables import table
 
 
@@ -49,11 +49,16 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_children(spark: SparkSession, d: str) -> DataFrame:
-    """The flat table of all child objects with their scalars."""
+    """The flat table of all child objects with the scalars they have in common; ``p6_attributes`` has every scalar."""
     return catalog_children(table(spark, d, "document_catalog"), table(spark, d, "document_pages"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_containers, p4_found, p4_by_period, p6_found, p6_children)}
+def p6_attributes(spark: SparkSession, d: str) -> DataFrame:
+    """The flat table of all scalars of the child objects, at any depth, linked by (parent_id, child, child_key)."""
+    return catalog_attributes(table(spark, d, "document_catalog"), table(spark, d, "document_pages"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_containers, p4_found, p4_by_period, p6_found, p6_children, p6_attributes)}
 
 _KEY = "regexp_replace(regexp_replace(lower(trim({0})), '^urn:uuid:', ''), '[^0-9a-z]', '', 'g')"
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from scanloom import queries_data as Q
 from scanloom.operators.consolidate import consolidated_index, plan_bins, small_files, storage_paths
 from scanloom.operators.orphans import Reference, find_orphans
-from scanloom.operators.shred import adjacency, catalog_children, children
+from scanloom.operators.shred import adjacency, catalog_attributes, catalog_children, children
 from scanloom.plans.skew import salted_join
 from scanloom.sources.parquet_blocks import consolidate_parquet, merge_files, read_footer, write_struct
 
@@ -209,6 +209,34 @@ def test_shred_shapes(spark):
     assert children(adjacency(df.limit(0), "id", {"pipeline_applied": "steps"})).count() == 0
 
 
+def test_every_scalar_of_a_child_is_kept(spark):
+    meta = {
+        "tasks": [
+            {"task_id": "t", "status": "completed", "seconds": 2.5, "params": {"dpi": 200, "limits": {"low": 5}, "status": "deep"}, "result": "{\"note\": \"n\"}", "regions": [{"type": "x", "area": 1.5, "bbox": [7, 8]}, "loose", {"bbox": {"x": None, "a.b": True}}]},
+        ],
+        "engine": {"version": "1"},
+    }
+    row = ("a", '[{"step":"skew","ms":7294,"opts":{"retry":1}},"plain"]', json.dumps(meta), '{"kind":"k","path":"/p","size":{"w":3}}')
+    df = spark.createDataFrame([row, row], "id string, pipeline_applied string, processing_metadata string, storage_paths string")
+    pages = spark.createDataFrame([("p", '{"dpi":3,"boundaries":[[0,9],{"x_start":1,"x_end":2,"by":["e"]}]}')], "id string, page_dimensions string")
+    flat = {(r.child, r.child_key): r for r in catalog_children(df, pages).collect()}
+    assert (flat["step", "0"].seconds, flat["task", "t"].seconds, flat["task", "t"].status) == (7.294, 2.5, "completed")
+    got = catalog_attributes(df, pages).collect()
+    expected = {
+        ("step", "0"): {"step": "skew", "ms": "7294", "opts.retry": "1"},
+        ("step", "1"): {"": "plain"},
+        ("task", "t"): {"task_id": "t", "status": "completed", "seconds": "2.5", "params.dpi": "200", "params.limits.low": "5", "params.status": "deep", "result.note": "n", "regions.1": "loose"},
+        ("region", "t.0"): {"type": "x", "area": "1.5", "bbox.0": "7", "bbox.1": "8"},
+        ("region", "t.2"): {"bbox.x": None, "bbox.a\\.b": "true"},
+        ("path", "k"): {"kind": "k", "path": "/p", "size.w": "3"},
+        ("boundary", "0"): {"0": "0", "1": "9"},
+        ("boundary", "1"): {"x_start": "1", "x_end": "2", "by.0": "e"},
+    }
+    assert sorted((r.child, r.child_key, r.path, str(r.value)) for r in got) == sorted((*k, p, str(v)) for k, x in expected.items() for p, v in x.items())
+    whole = adjacency(df, "id", {"pipeline_applied": "steps"}).unionByName(adjacency(pages, "id", {"page_dimensions": "boundaries"}))
+    assert rows(children(whole), "child", "child_key") == [("boundary", "0"), ("boundary", "1"), ("step", "0"), ("step", "1")]
+
+
 def test_adjacency_keeps_every_node(spark):
     text = '{"a":[1,{"b":null}],"c":"{\\"d\\":true}"}'
     df = spark.createDataFrame([("k", text)], "id string, j string")
