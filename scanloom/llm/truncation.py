@@ -4,9 +4,10 @@ Two kinds of evidence, both over whole texts:
 
 * The ending. What follows the stop (white space, control characters, dots and dashes of omission) is set aside. A text is
   complete if it then ends with a sentence or with a closing line; a number that a point has just divided ends no sentence.
-* A longer copy, by a self-join on prefixes: the distinct texts are sorted, and a text that is a strict prefix of any other is one of
-  its right neighbour. If the copy goes on inside a word or number, the text was cut there, however complete it looks. Sorting is by ranges
-  of the text, so the join needs no pairs and no group of texts is ever collected; copies of a text count once.
+* A longer copy, by a self-join on prefixes: the distinct texts are sorted, so that all that continue a text follow it at once. The texts
+  that the present one continues are kept on a stack. If any copy goes on inside a word or number, the text was cut there, however
+  complete it looks and whatever other copies go on with. Sorting is by ranges of the text, so the join needs no pairs and no group
+  of texts is ever collected; copies of a text count once.
 
 Defined cases: null, empty and blank texts are no cases, nor are texts of marks alone; rows without an id are left out;
 repeated rows count once; a source of null is a source of its own in the report.
@@ -17,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.operators.orphans import bloom_of, might_contain
@@ -70,7 +71,8 @@ def looks_complete(backwards: Column) -> Column:
     return sentence | closing | named
 
 
-NEIGHBOURS = "text string, cut boolean, part int, place string"
+#: Found texts have no place. Of each part: the first text, with the lengths at which later ones leave it inside a word or number, and the texts still open at its end.
+CONTINUED = "text string, part int, place string, lengths array<int>"
 
 
 def _goes_on(shorter: str, longer: str) -> bool:
@@ -81,48 +83,76 @@ def _goes_on(shorter: str, longer: str) -> bool:
     return following.isalnum() and (last.isalnum() or (last in ".,/-" and shorter[-2:-1].isdigit() and following.isdigit()))
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a sorted part: the texts that go on in the next text, and the part's first and last text."""
+def _continued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a sorted part: the texts that another one continues, and what the parts before and after it need."""
     from pyspark import TaskContext
 
-    part, first, last = TaskContext.get().partitionId(), None, None
+    part, first, common, lengths = TaskContext.get().partitionId(), None, 0, set()
+    # [text, found]: each is a prefix of the next. A text that comes goes on as the one above does, if there is one, so only the topmost is compared.
+    stack: list[list] = []
     for batch in batches:
         out = []
         for t in batch.column(0).to_pylist():
-            if last is None:
-                first = t
-            elif _goes_on(last, t):
-                out.append((last, True, None, None))
-            last = t
+            if first is None:
+                first, common = t, len(t)
+            # Texts of earlier parts that this part continues are beginnings of its first text; one of this length goes on with t.
+            common = _common(first, t, common)
+            if 0 < common < len(first) and common not in lengths and _goes_on(first[:common], t):
+                lengths.add(common)
+            while stack and not t.startswith(stack[-1][0]):
+                stack.pop()
+            if stack and not stack[-1][1] and _goes_on(stack[-1][0], t):
+                stack[-1][1] = True
+                out.append((stack[-1][0], None, None, None))
+            stack.append([t, False])
         yield _rows(out)
     if first is not None:
-        yield _rows([(first, False, part, "first"), (last, False, part, "last")])
+        yield _rows([(first, part, "first", sorted(lengths)), *((t, part, "open", None) for t, found in stack if not found)])
+
+
+def _common(a: str, b: str, most: int) -> int:
+    """How many characters, at most ``most``, two texts begin with in common."""
+    if b.startswith(a[:most]):
+        return most
+    low, high = 0, most
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if b.startswith(a[:middle]) else (low, middle)
+    return low
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the parts' first and open texts, by part: the open ones that a later part continues."""
+    waiting: list[str] = []
+    for batch in batches:
+        out = []
+        for t, _, place, lengths in zip(*(c.to_pylist() for c in batch.columns)):
+            if place == "open":
+                waiting.append(t)
+                continue
+            waiting = [s for s in waiting if t.startswith(s)]
+            found = {s for s in waiting if len(s) in lengths or _goes_on(s, t)}
+            out += [(s, None, None, None) for s in found]
+            waiting = [s for s in waiting if s not in found]
+        yield _rows(out)
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:
     fields = list(zip(*out)) if out else [[]] * 4
-    types = (pa.string(), pa.bool_(), pa.int32(), pa.string())
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(fields, types)], names=["text", "cut", "part", "place"])
+    types = (pa.string(), pa.int32(), pa.string(), pa.list_(pa.int32()))
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(fields, types)], names=["text", "part", "place", "lengths"])
 
 
 def cut_in_copies(texts: DataFrame) -> DataFrame:
     """Of the distinct ``texts`` (text): those that some other one continues inside a word or number.
 
-    The parts' first and last texts, two a part, are matched in a window of their own: a text
-    continued in the next part has its right neighbour there.
+    What continues over the end of a part is settled by one task, which gets of each part its first text and
+    those that its last one continues (itself included) and that are not found yet.
     """
     ordered = texts.repartitionByRange("text").sortWithinPartitions("text")
-    found = ordered.mapInArrow(_neighbours, NEIGHBOURS)
-    inside = found.where("cut").select("text")
-    ends = found.where("place IS NOT NULL")
-    order = Window.orderBy("part", F.when(F.col("place") == "first", 0).otherwise(1))
-    follows = ends.withColumn("next", F.lead("text").over(order)).where("place = 'last' AND next IS NOT NULL")
-    n = F.length("text")
-    last, following = F.substr(F.col("text"), n), F.substr(F.col("next"), n + 1, F.lit(1))
-    word = r"(?U)[\p{L}\p{N}]"
-    number = F.col("text").rlike(r"[0-9][.,/\-]$") & following.rlike("[0-9]")
-    across = follows.where(F.col("next").startswith(F.col("text")) & (F.length("next") > n) & following.rlike(word) & (last.rlike(word) | number)).select("text")
-    return inside.unionByName(across)
+    found = ordered.mapInArrow(_continued, CONTINUED)
+    ends = found.where("place IS NOT NULL").repartition(1).sortWithinPartitions("part", "place")
+    return found.where("place IS NULL").unionByName(ends.mapInArrow(_across, CONTINUED)).select("text")
 
 
 def _prepared(documents: DataFrame) -> DataFrame:

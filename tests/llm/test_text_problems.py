@@ -1,5 +1,7 @@
 """Leaks and truncated texts: edge cases, and leaks against a brute-force search."""
 
+import random
+
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -96,3 +98,25 @@ def test_longer_copies(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     report = {r.source: r for r in truncation.by_source(df).collect()}
     assert (report[None].truncated_count, report["s"].truncated_count, report["s"].document_count) == (1, 2, 6)
+
+
+def test_longer_copies_behind_others(spark):
+    stop = "Letter.\nTel: 030 123-45"
+    texts = [stop + " ...", stop + "67\nBye.", "Text.\nNo. ZED-12510/51", "Text.\nNo. ZED-12510/51 sent.", "Text.\nNo. ZED-12510/51-a.", "Text.\nNo. ZED-12510/517 is it.", "Text.\nNo. ZED-19/51 -", "Text.\nNo. ZED-19/51 # seven."]
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    assert {r.doc_id: r.evidence for r in truncation.truncated(df).collect()} == {0: "copy", 2: "copy"}
+
+
+def test_copies_equal_all_pairs(spark):
+    draw = random.Random(7)
+    texts = {"".join(draw.choice("a1 .-é") for _ in range(draw.randint(1, 7))) for _ in range(700)} | {"a1", "a1 ", "a1-", "a1.", "a1. ", "a1é"}
+    expected = sorted(s for s in texts if any(truncation._goes_on(s, t) for t in texts))
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for parts in ("1", "3", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            assert sorted(r.text for r in truncation.cut_in_copies(df).collect()) == expected
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
