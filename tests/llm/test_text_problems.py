@@ -1,6 +1,7 @@
 """Leaks and truncated texts: edge cases, and leaks against a brute-force search."""
 
 import random
+import re
 
 import pyarrow.parquet as pq
 import pytest
@@ -11,11 +12,24 @@ from scanloom.llm import leaks, truncation
 ITEM = "In Quor-Vorq, Filed by Zyphxil Oxum; checked by Kvex Jext, paid by Phex & Co with 1,234.56 EUR. Không gấp ngày thứ hai!"
 
 
+def shares_a_cut(a, b):
+    return leaks.CutIndex([b]).matches([a])[0].tolist() == [0]
+
+
 def test_near():
-    for a, b in (("rninder", "minder"), ("clay", "day"), ("modern", "modem"), ("e", "c"), ("word", "word"), ("oo", "00"), ("house", "hause"), ("house", "hxxse")):
-        assert leaks.near(a, b) and leaks.near(b, a) and set(leaks.cuts(a)) & set(leaks.cuts(b))
-    for a, b in (("hxuxe", "house"), ("abcdef", "abc"), ("hoxxxe", "house")):
-        assert not leaks.near(a, b) and not set(leaks.cuts(a)) & set(leaks.cuts(b))
+    for a, b in (("rninder", "minder"), ("clay", "day"), ("modern", "modem"), ("e", "c"), ("word", "word"), ("oo", "00"), ("house", "hause"), ("house", "hxxse"), ("x" * 500, "x" * 499)):
+        assert leaks.near(a, b) and leaks.near(b, a) and shares_a_cut(a, b)
+    for a, b in (("hxuxe", "house"), ("abcdef", "abc"), ("hoxxxe", "house"), ("", "ab")):
+        assert not shares_a_cut(a, b)
+
+
+def test_cut_index_equals_all_pairs():
+    draw = random.Random(3)
+    words = sorted({"".join(draw.choice("abđñ") for _ in range(draw.randint(1, 6))) for _ in range(300)})
+    given = sorted({"".join(draw.choice("abđñ") for _ in range(draw.randint(0, 7))) for _ in range(300)})
+    got = list(zip(*(x.tolist() for x in leaks.CutIndex(words).matches(given))))
+    assert got == [(i, j) for i, a in enumerate(given) for j, b in enumerate(words) if a and leaks.near(a, b)]
+    assert len(leaks.CutIndex([]).matches(given)[0]) == len(leaks.CutIndex(words).matches([])[0]) == 0
 
 
 @pytest.mark.parametrize(
@@ -25,6 +39,7 @@ def test_near():
         (ITEM.upper().replace(",", " , ").replace(";", ""), True),
         ("> " + ITEM.replace("checked by", "checked\n> by").replace("Zyphxil", "Zyph-\n> xil"), True),
         (ITEM.replace("Filed", "Fi1ed").replace("Kvex", "Kvcx").replace("paid", "pald"), True),
+        (ITEM.replace("Filed", "Filed\u2003--\u00a0...").replace("Zyphxil", "Zyph\u2010 \r\n\t| xil").replace(" ", "\u202f"), True),
         (ITEM.replace("ngày", "ngay").replace("Không", "KHONG"), True),
         (" ".join(ITEM.split()[3:15]), True),
         (" ".join(ITEM.split()[3:14]), False),
@@ -42,22 +57,50 @@ def test_leak_cases(spark, text, hit):
     assert [tuple(r) for r in got] == ([(1, 7)] if hit else [])
 
 
+DIVIDED = re.compile(r"(?<=\w)[-\xad‐‑\xac]\s*?[\r\n][\s>|]*(?=\w)")
+
+
 def longest_run(text, item):
-    """Dynamic programming over all alignments of two texts."""
-    a = [w for w in map(leaks.normal, leaks.written(text)) if w]
+    """Dynamic programming over all alignments of two texts; words of punctuation alone at both ends count if both texts have them."""
+    given = DIVIDED.sub("", text).split()
+    a = [(i, w) for i, w in enumerate(map(leaks.normal, given)) if w]
     b = [(i, w) for i, w in enumerate(map(leaks.normal, item.split())) if w]
+    ends = ([i for i, _ in a] + [len(given)], [i for i, _ in b] + [len(item.split())])
     best, before = 0, [None] * (len(b) + 1)
-    for w in a:
+    for x, (_, w) in enumerate(a):
         now = [None] * (len(b) + 1)
         for j, (place, v) in enumerate(b):
             if leaks.near(w, v):
-                now[j + 1] = before[j] if before[j] is not None else place
-                best = max(best, place - now[j + 1] + 1)
+                now[j + 1] = before[j] if before[j] is not None else (x, j)
+                i0, j0 = now[j + 1]
+                gap = min(a[i0][0] - (a[i0 - 1][0] + 1 if i0 else 0), b[j0][0] - (b[j0 - 1][0] + 1 if j0 else 0))
+                after = min(ends[0][x + 1] - a[x][0], ends[1][j + 1] - place) - 1
+                best = max(best, gap + place - b[j0][0] + 1 + after)
         before = now
     return best
 
 
-def test_leaks_equal_brute_force(spark, folder):
+@pytest.mark.parametrize(
+    "text,hit",
+    [
+        ("x a1 b1 c1 d1 e1 f1 : g1 h1 i1 j1 k1 y", True),
+        ("x a1 b1 c1 d1 e1 f1 g1 h1 i1 j1 k1 y", True),
+        ("x ! b1 c1 d1 e1 f1 : g1 h1 i1 j1 k1 y", True),
+        ("x b1 c1 d1 e1 f1 : g1 h1 i1 j1 k1 ? y", True),
+        ("! b1 c1 d1 e1 f1 : g1 h1 i1 j1 k1", True),
+        ("x b1 c1 d1 e1 f1 : g1 h1 i1 j1 k1 y", False),
+        ("x ! c1 d1 e1 f1 : g1 h1 i1 j1 k1 y", False),
+    ],
+)
+def test_punctuation_alone(spark, text, hit):
+    item = "a1 ! b1 c1 d1 e1 f1 : g1 h1 i1 j1 k1 ; z1"
+    text, item = (re.sub(r"(\w)\w?", lambda m: m[1] * 9, x) for x in (text, item))
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = leaks.leaks(spark.createDataFrame([(1, text)], "doc_id long, text string"), "doc_id", "text", items, "item_id", "text").count()
+    assert got == (longest_run(text, item) >= 12) == hit
+
+
+def test_leaks_equal_brute_force(spark, folder, monkeypatch):
     items = {r["item_id"]: r["text"] for r in pq.read_table(f"{folder}/eval_items.parquet").to_pylist()[:12]}
     docs = {r["doc_id"]: r["text"] for r in pq.read_table(f"{folder}/documents.parquet").to_pylist() if r["text"]}
     docs = dict(list(docs.items())[:25])
@@ -66,7 +109,8 @@ def test_leaks_equal_brute_force(spark, folder):
     expected = sorted((d, i) for d, x in docs.items() for i, t in items.items() if longest_run(x, t) >= 12)
     left = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     right = spark.createDataFrame(list(items.items()), "item_id long, text string")
-    for block in (200_000, 100):
+    for block, most in ((200_000, 10**6), (100, 10**6), (200_000, 5)):
+        monkeypatch.setattr(leaks, "MOST_PREFIXES", most)
         got = leaks.leaks(left, "doc_id", "text", right, "item_id", "text", block_words=block).collect()
         assert sorted(tuple(r) for r in got) == expected
     assert len(expected) >= 8
