@@ -51,10 +51,10 @@ def small_files(listing: DataFrame, references: list[tuple[DataFrame, Column]],
 def plan_bins(files: DataFrame, *, target: int = TARGET, slices: int | None = None) -> DataFrame:
     """``files`` with ``container`` and ``offset``: containers of ``target`` bytes or a little less, each file in one of them.
 
-    Files are dealt into ``slices`` parts (default: the shuffle partitions) by a hash of their path, and packed in path
-    order within a part; only a part's last container may be far from full.
+    Files are dealt into ``slices`` parts (default: one for each 64 containers that their bytes fill) by a hash of their path, and
+    packed in path order within a part; only a part's last container may be far from full.
     """
-    slices = slices or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = slices or int((files.agg(F.sum("size_bytes")).first()[0] or 0) // (64 * target)) + 1
     w = Window.partitionBy("slice").orderBy("path")
     end = F.sum("size_bytes").over(w)
     start = end - F.col("size_bytes")
@@ -71,7 +71,9 @@ def consolidated_index(files: DataFrame, name: str = "p3", *, target: int = TARG
     """
     spark = files.sparkSession
     ws = Workspace(spark, name)
+    files = ws.save(files, "files")
     planned = ws.save(plan_bins(files, target=target), "index-parts")
+    ws.drop("files")
     report = consolidate_parquet(spark, ws.path("index-parts"), ws.path("index"), target=target)
     expected, got = planned.count(), report.agg(F.sum("rows")).first()[0] or 0
     if expected != got:
