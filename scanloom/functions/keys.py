@@ -28,8 +28,7 @@ def document_key(x: Column | str) -> Column:
 
     >>> "{03C7E141-...}", "urn:uuid:03c7e141-..." and "03c7e141..." share one key.
     """
-    bare = F.regexp_replace(F.lower(F.trim(_c(x))), r"^urn:uuid:", "")
-    return F.regexp_replace(bare, r"[^0-9a-z]", "")
+    return F.regexp_replace(F.regexp_replace(F.lower(_c(x)), r"[^0-9a-z]", ""), r"^urnuuid", "")
 
 
 def is_given(x: Column | str) -> Column:

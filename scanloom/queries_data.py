@@ -60,7 +60,7 @@ def p6_attributes(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_containers, p4_found, p4_by_period, p6_found, p6_children, p6_attributes)}
 
-_KEY = "regexp_replace(regexp_replace(lower(trim({0})), '^urn:uuid:', ''), '[^0-9a-z]', '', 'g')"
+_KEY = "regexp_replace(regexp_replace(lower({0}), '[^0-9a-z]', '', 'g'), '^urnuuid', '')"
 
 
 def _orphan_part(name: str, row_id: str, parents: str, parent_key: str, stamp: str) -> str:

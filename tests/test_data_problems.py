@@ -287,3 +287,38 @@ def test_p3_equals_plain(spark, folder):
             files.setdefault(resolve(r["path"]), []).append((r["file_id"], r["size_bytes"]))
     expected = sorted((min(i for i, _ in v),) for p, v in files.items() if p in named and any(s is not None and 0 < s < 1_048_576 for _, s in v))
     assert rows(Q.p3_found(spark, folder), "file_id") == expected
+
+
+# ---- filters and containers at scale
+
+
+def test_filters_are_split(spark, monkeypatch):
+    from scanloom.operators import orphans
+    from scanloom.plans.workspace import Workspace
+
+    keys = spark.range(5000).select(F.xxhash64("id").alias("k"))
+    others = spark.range(10_000, 15_000).select(F.xxhash64("id").alias("k"))
+    ws = Workspace(spark, "filters")
+    for most in (None, 1000):
+        test = orphans.saved_filter(ws, keys, F.col("k"), 5000, most_items=most)
+        assert keys.where(test(F.col("k"))).count() == 5000
+        assert others.where(test(F.col("k"))).count() < 100
+    assert keys.where(orphans.saved_filter(ws, keys.limit(0), F.col("k"), 0)(F.col("k"))).count() == 0
+
+
+def test_containers_are_full_but_the_last(spark):
+    files = spark.range(3000).select(F.col("id").alias("file_id"), F.col("id").cast("string").alias("path"), (F.col("id") % 100 + 1).alias("size_bytes"))
+    for target, slices in ((10_000, 1), (1_000, 3)):
+        sizes = sorted(r[1] for r in plan_bins(files, target=target).groupBy("container").agg(F.sum("size_bytes")).collect())
+        assert sum(sizes) == 151_500 and all(abs(n - target) <= 100 for n in sizes[slices:])
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from scanloom.plans.workspace import shared_folder
+
+    given = SimpleNamespace(get=lambda *_: None)
+    cluster = SimpleNamespace(conf=given, sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: given, applicationId="a"))
+    with pytest.raises(ValueError):
+        shared_folder(cluster)

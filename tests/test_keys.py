@@ -17,9 +17,9 @@ def test_digest(spark):
 
 def test_document_key(spark):
     key = "03c7e141c80b469ca8a139b126ac865a"
-    rows = ["03c7e141-c80b-469c-a8a1-39b126ac865a", "{03C7E141-C80B-469C-A8A1-39B126AC865A}", " urn:uuid:03c7e141-c80b-469c-a8a1-39b126ac865a ", key, "?", "", None]
-    assert values(spark, rows, document_key) == [key] * 4 + ["", "", None]
-    assert values(spark, rows, is_given) == [True] * 5 + [False, False]
+    rows = ["03c7e141-c80b-469c-a8a1-39b126ac865a", "{03C7E141-C80B-469C-A8A1-39B126AC865A}", " urn:uuid:03c7e141-c80b-469c-a8a1-39b126ac865a ", key, "{urn:uuid:03C7E141-c80b-469c-a8a1-39b126ac865a}", "\t urn:uuid:{03c7e141-c80b-469c-a8a1-39b126ac865a}", "?", "", None]
+    assert values(spark, rows, document_key) == [key] * 6 + ["", "", None]
+    assert values(spark, rows, is_given) == [True] * 7 + [False, False]
 
 
 def test_hash64(spark):
