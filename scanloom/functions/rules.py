@@ -101,14 +101,46 @@ def size_category(size: Column) -> Column:
     return chosen((size < mb, "small"), (size < 5 * mb, "medium"), (size < 25 * mb, "large"), (size.isNotNull(), "very_large"))
 
 
-def size_strategy(size: Column) -> Column:
-    """The transformation that a file of this size still affords."""
-    mb = 1024 * 1024
-    return chosen((size < 5 * mb, "enhanced"), (size < 50 * mb, "deskewing"), (size.isNotNull(), "basic"))
+MB = 1024 * 1024
+
+# Most size in MB (null: any), transformation, seconds.
+FALLBACKS = ((10, "enhanced", 60), (50, "deskewing", 120), (100, "basic", 180), (None, "basic", 300))
+# Size in MB to stay below (null: any), transformation, cached, batched, memory in MB, seconds.
+SIZE_PLANS = ((5, "enhanced", True, False, 512, 60), (25, "deskewing", True, False, 1024, 120), (50, "deskewing", True, True, 2048, 180), (None, "basic", False, True, 4096, 300))
+
+
+def fallback_strategy(size: Column) -> Column:
+    """The transformation that a file of this size still affords, and its time: struct (strategy, timeout); null for null."""
+    out = F.lit(None)
+    for most, strategy, seconds in reversed(FALLBACKS):
+        one = F.struct(F.lit(strategy).alias("strategy"), F.lit(seconds).alias("timeout"))
+        out = F.when(size.isNotNull(), one) if most is None else F.when(size <= most * MB, one).otherwise(out)
+    return out
+
+
+def size_plan(size: Column, state: Column) -> Column:
+    """How to process a file of this size: struct (transformation, caching, batch, memory, timeout); a short machine gets the basic one."""
+    out = F.lit(None)
+    for below, name, cached, batched, memory, seconds in reversed(SIZE_PLANS):
+        short = state.isin("high_memory_usage", "high_cpu_usage")
+        one = F.struct(
+            F.when(short, "basic").otherwise(name).alias("transformation"),
+            F.lit(cached).alias("caching"),
+            F.lit(batched).alias("batch"),
+            F.when(state == "high_memory_usage", min(memory, 1024) * MB).otherwise(memory * MB).cast("bigint").alias("memory"),
+            F.when(state == "high_cpu_usage", min(seconds, 180)).otherwise(seconds).alias("timeout"),
+        )
+        out = F.when(size.isNotNull(), one) if below is None else F.when(size < below * MB, one).otherwise(out)
+    return out
+
+
+def streams(size: Column) -> Column:
+    """Whether a file is read as a stream."""
+    return F.coalesce(size > 25 * MB, F.lit(False))
 
 
 def resource_state(cpu: Column, memory: Column, disk: Column) -> Column:
-    return chosen((cpu > 80, "high_cpu"), (memory > 85, "high_memory"), (disk > 90, "high_disk"), ((cpu > 60) | (memory > 70), "moderate"), otherwise="optimal")
+    return chosen((cpu > 80, "high_cpu_usage"), (memory > 85, "high_memory_usage"), (disk > 90, "low_disk_space"), ((cpu > 60) | (memory > 70), "moderate_load"), otherwise="optimal")
 
 
 def progress_percent(done: Column, total: Column) -> Column:

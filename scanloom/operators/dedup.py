@@ -2,10 +2,26 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BANDS, ERRORS = 4, 3
+from scanloom.plans.skew import salted_join
+
+SEGMENTS, ERRORS, BITS = 5, 3, 64
+
+
+def segment_bounds(segments: int = SEGMENTS, bits: int = BITS) -> list[tuple[int, int]]:
+    """(first bit, length) of each segment; lengths differ by one at most."""
+    lengths = [bits // segments + (i < bits % segments) for i in range(segments)]
+    return [(sum(lengths[:i]), n) for i, n in enumerate(lengths)]
+
+
+def segment_entries(value: Column, segments: int = SEGMENTS, errors: int = ERRORS) -> Column:
+    """An entry for each choice of ``segments - errors`` segments of a 64-bit value: values within ``errors`` bits share one."""
+    cut = [F.shiftrightunsigned(value, start).bitwiseAND(F.lit(2**n - 1).cast("bigint")) for start, n in segment_bounds(segments)]
+    return F.array(*[F.xxhash64(F.lit(i), *[cut[s] for s in chosen]) for i, chosen in enumerate(itertools.combinations(range(segments), segments - errors))])
 
 
 def group_id(master: Column) -> Column:
@@ -29,18 +45,18 @@ def exact_groups(df: DataFrame, key: Column, order: Column, name: Column) -> Dat
 def nearest_earlier(df: DataFrame, record: str, value: str) -> DataFrame:
     """For each record the closest earlier record within three bits: record, match, distance, similarity; ties go to the first.
 
-    Equal values are reduced to their first record; distinct values meet in one of four 16-bit bands, which a pair within
-    three bits must share, and are verified. Of a value's other holders only the first can be earlier and closest.
+    Equal values are reduced to their first record; distinct values meet under an entry of 25 or 26 bits (two of five segments), which a
+    pair within three bits must share, and are verified. Of a value's other holders only the first can be earlier and closest, and of
+    those first ones that the record comes after, the closest: at most one a distance is kept for each value, so no hot value multiplies.
     """
     values = df.where(F.col(value).isNotNull() & F.col(record).isNotNull()).select(F.col(record).alias("r"), F.col(value).alias("v"))
     firsts = values.groupBy("v").agg(F.min("r").alias("first"))
-    bands = F.explode(F.array(*[F.struct(F.lit(i).alias("no"), F.shiftrightunsigned("v", 16 * i).bitwiseAND(F.lit(65535).cast("bigint")).alias("band")) for i in range(BANDS)])).alias("x")
-    indexed = firsts.select("v", "first", bands).select("v", "first", "x.*")
-    a, b = indexed.alias("a"), indexed.alias("b")
-    distance = hamming(F.col("a.v"), F.col("b.v"))
-    pairs = a.join(b, (F.col("a.no") == F.col("b.no")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.v") != F.col("b.v")) & (distance <= ERRORS))
-    near = pairs.select(F.col("a.v").alias("v"), F.col("b.first").alias("match"), distance.alias("distance")).distinct()
-    near = near.unionByName(firsts.select("v", F.col("first").alias("match"), F.lit(0).alias("distance")))
-    hits = values.distinct().join(near, "v").where(F.col("match") < F.col("r"))
+    indexed = firsts.select("v", "first", F.explode(segment_entries(F.col("v"))).alias("entry"))
+    a, b = indexed.select("entry", F.col("v").alias("av")), indexed.select("entry", F.col("v").alias("bv"), F.col("first").alias("match"))
+    distance = hamming(F.col("av"), F.col("bv"))
+    pairs = salted_join(a, b, "entry").where((F.col("av") != F.col("bv")) & (distance <= ERRORS))
+    near = pairs.groupBy(F.col("av").alias("v"), distance.alias("distance")).agg(F.min("match").alias("match"))
+    near = near.unionByName(firsts.select("v", F.lit(0).alias("distance"), F.col("first").alias("match")))
+    hits = salted_join(values.distinct(), near, "v").where(F.col("match") < F.col("r"))
     best = hits.groupBy("r").agg(F.min(F.struct("distance", "match")).alias("best"))
     return best.select(F.col("r").alias(record), "best.match", "best.distance", similarity(F.col("best.distance")).alias("similarity"))

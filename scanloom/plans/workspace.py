@@ -1,7 +1,7 @@
 """Intermediate tables in the folder that all executors share.
 
-The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (tests,
-local runs) a temporary folder of this machine is taken.
+The folder is the session's ``spark.checkpoint.dir``. Only where that is unset and the master is
+local (tests, runs on one machine) a temporary folder of this machine is taken; on a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ def shared_folder(spark: SparkSession) -> str:
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if given:
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="scanloom-")

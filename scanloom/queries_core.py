@@ -16,6 +16,7 @@ from scanloom.operators import catalog as C
 from scanloom.operators import dedup as D
 from scanloom.operators import sequence as S
 from scanloom.plans import modes
+from scanloom.streaming.state import windows
 from scanloom.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,26 +56,26 @@ NOW = datetime(2025, 6, 1)
 
 @query(f"SELECT id, filename FROM {CAT} WHERE filename ILIKE '%invoice%' OR original_filename ILIKE '%invoice%'")
 def search_by_filename(s, d):
-    return C.by_filename(_catalog(s, d), "invoice").select("id", "filename")
+    return C.by_filename(table(s, d, "document_catalog"), "invoice").select("id", "filename").dropDuplicates(["id"])
 
 
 @query(f"SELECT id, filename FROM {CAT} WHERE filename = 'Letter_9331.png' OR original_filename = 'Letter_9331.png'")
 def search_exact_filename(s, d):
-    return C.by_filename(_catalog(s, d), "Letter_9331.png", exact=True).select("id", "filename")
+    return C.by_filename(table(s, d, "document_catalog"), "Letter_9331.png", exact=True).select("id", "filename").dropDuplicates(["id"])
 
 
 @query(f"SELECT id, content_hash FROM {CAT} WHERE content_hash IN (SELECT min(content_hash) FROM document_catalog)")
 def search_by_hash(s, d):
-    least = table(s, d, "document_catalog").agg(F.min("content_hash").alias("content_hash"))
-    return _catalog(s, d).join(least, "content_hash", "left_semi").select("id", "content_hash")
+    least = table(s, d, "document_catalog").agg(F.min("content_hash")).scalar()
+    return table(s, d, "document_catalog").where(F.col("content_hash") == least).select("id", "content_hash").dropDuplicates(["id"])
 
 
 @query(f"""SELECT id, filename, created_at FROM {CAT} WHERE file_type = 'pdf' AND status = 'completed'
   AND created_at >= TIMESTAMP '2023-03-01' AND created_at <= TIMESTAMP '2025-03-01'
   ORDER BY created_at DESC NULLS LAST, id OFFSET 20 LIMIT 20""")
 def search_documents_page(s, d):
-    found = C.search(_catalog(s, d), file_type="pdf", status="completed", date_from=datetime(2023, 3, 1), date_to=datetime(2025, 3, 1))
-    return C.newest(found, page=2, page_size=20).select("id", "filename", "created_at")
+    found = C.search(table(s, d, "document_catalog"), file_type="pdf", status="completed", date_from=datetime(2023, 3, 1), date_to=datetime(2025, 3, 1))
+    return C.newest(found.select("id", "filename", "created_at").dropDuplicates(["id"]), page=2, page_size=20).select("id", "filename", "created_at")
 
 
 @query(f"SELECT status, count(*) AS document_count FROM {CAT} GROUP BY status")
@@ -84,7 +85,7 @@ def status_breakdown(s, d):
 
 @query(f"SELECT id, status FROM {CAT} WHERE created_at < TIMESTAMP '2025-06-01' - INTERVAL 48 HOUR AND status IN ('completed', 'failed')")
 def retention_candidates(s, d):
-    return C.expired(_catalog(s, d), NOW, hours=48).where(F.col("status").isin("completed", "failed")).select("id", "status")
+    return C.expired(table(s, d, "document_catalog"), NOW, hours=48).where(F.col("status").isin("completed", "failed")).select("id", "status").dropDuplicates(["id"])
 
 
 @query(f"""SELECT coalesce(CASE WHEN suffix IS NULL OR suffix NOT IN ('png','jpg','jpeg','bmp','tiff','tif','pdf') THEN 'unsupported_type'
@@ -259,10 +260,12 @@ def value_histogram(s, d):
     return table(s, d, "events").groupBy(F.floor(F.col("value") / 10).cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT user_id % 50 AS page, (CASE WHEN count(DISTINCT event_type) = 1 THEN min(event_type) ELSE 'none' END) AS agreed, (SELECT 1) AS one FROM events GROUP BY 1")
+@query("""SELECT event_id, CASE WHEN a = b AND b = c AND c = d THEN a ELSE 0 END AS rotation FROM (SELECT event_id,
+  90 * (event_id % 4) AS a, 90 * (user_id % 2 * (event_id % 4)) AS b, 90 * (event_id % 4) AS c, 90 * (event_id // 7 % 2 * (event_id % 4)) AS d FROM events)""")
 def orientation_votes(s, d):
-    votes = table(s, d, "events").groupBy((F.col("user_id") % 50).alias("page")).agg(F.collect_set("event_type").alias("votes"))
-    return votes.select("page", F.when(F.size("votes") == 1, F.element_at("votes", 1)).otherwise("none").alias("agreed"), F.lit(1).alias("one"))
+    angle = F.expr("CAST(90 * (event_id % 4) AS BIGINT)")
+    votes = F.array(angle, angle * (F.col("user_id") % 2), angle, angle * F.expr("event_id div 7 % 2"))
+    return table(s, d, "events").select("event_id", R.agreed_rotation(votes).alias("rotation"))
 
 
 _SKEW = """SELECT vec_id, e[1] * 40 AS proj, e[2] * 40 AS hough, abs(e[3]) * 80 AS hc, e[4] * 40 AS txt, abs(e[5]) * 40 AS tc FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)"""
@@ -356,9 +359,28 @@ def machine_readable(s, d):
 # ---- scalar functions
 
 
-@query(f"SELECT id, CASE WHEN file_size < 5242880 THEN 'enhanced' WHEN file_size < 52428800 THEN 'deskewing' WHEN file_size IS NOT NULL THEN 'basic' END AS strategy, md5(concat_ws(':', content_hash, transformation_type)) AS cache_key FROM {CAT}")
+_NEW_SIZE = "file_size * (1 + file_size % 97)"
+
+
+@query(f"""SELECT id, CASE WHEN n <= 10485760 THEN 'enhanced' WHEN n <= 52428800 THEN 'deskewing' WHEN n IS NOT NULL THEN 'basic' END AS strategy, CASE WHEN n <= 10485760 THEN 60 WHEN n <= 52428800 THEN 120 WHEN n <= 104857600 THEN 180 WHEN n IS NOT NULL THEN 300 END AS timeout,
+  coalesce(n > 26214400, false) AS streamed, md5(concat_ws(':', content_hash, transformation_type)) AS cache_key FROM (SELECT *, {_NEW_SIZE} AS n FROM {CAT})""")
 def size_strategies(s, d):
-    return _catalog(s, d).select("id", R.size_strategy(F.col("file_size")).alias("strategy"), F.md5(F.concat_ws(":", "content_hash", "transformation_type")).alias("cache_key"))
+    n = F.expr(_NEW_SIZE)
+    return _catalog(s, d).withColumn("fallback", R.fallback_strategy(n)).select("id", "fallback.strategy", "fallback.timeout", R.streams(n).alias("streamed"), F.md5(F.concat_ws(":", "content_hash", "transformation_type")).alias("cache_key"))
+
+
+_LOAD = "file_size % 101 AS cpu, file_size % 103 AS memory, file_size % 107 AS disk"
+
+
+@query(f"""SELECT id, state, CASE WHEN n IS NULL THEN NULL WHEN state IN ('high_cpu_usage', 'high_memory_usage') THEN 'basic' WHEN n < 5242880 THEN 'enhanced' WHEN n < 52428800 THEN 'deskewing' ELSE 'basic' END AS transformation,
+  CASE WHEN n IS NOT NULL THEN n < 52428800 END AS caching, CASE WHEN n IS NOT NULL THEN n >= 26214400 END AS batch,
+  least(CASE WHEN n < 5242880 THEN 512 WHEN n < 26214400 THEN 1024 WHEN n < 52428800 THEN 2048 WHEN n IS NOT NULL THEN 4096 END, CASE WHEN state = 'high_memory_usage' AND n IS NOT NULL THEN 1024 END)::BIGINT * 1048576 AS memory,
+  least(CASE WHEN n < 5242880 THEN 60 WHEN n < 26214400 THEN 120 WHEN n < 52428800 THEN 180 WHEN n IS NOT NULL THEN 300 END, CASE WHEN state = 'high_cpu_usage' AND n IS NOT NULL THEN 180 END) AS timeout
+  FROM (SELECT *, CASE WHEN cpu > 80 THEN 'high_cpu_usage' WHEN memory > 85 THEN 'high_memory_usage' WHEN disk > 90 THEN 'low_disk_space' WHEN cpu > 60 OR memory > 70 THEN 'moderate_load' ELSE 'optimal' END AS state
+    FROM (SELECT id, {_NEW_SIZE} AS n, {_LOAD} FROM {CAT}))""")
+def size_plans(s, d):
+    loaded = _catalog(s, d).selectExpr("id", f"{_NEW_SIZE} AS n", *_LOAD.split(", ")).withColumn("state", R.resource_state(F.col("cpu"), F.col("memory"), F.col("disk")))
+    return loaded.select("id", "state", R.size_plan(F.col("n"), F.col("state")).alias("x")).select("id", "state", "x.*")
 
 
 @query(f"""SELECT id, CASE WHEN suffix IS NULL THEN NULL WHEN suffix = 'png' THEN 'image/png' WHEN suffix IN ('jpg', 'jpeg') THEN 'image/jpeg' WHEN suffix = 'bmp' THEN 'image/bmp' WHEN suffix IN ('tif', 'tiff') THEN 'image/tiff' WHEN suffix = 'pdf' THEN 'application/pdf' ELSE 'application/octet-stream' END AS media,
@@ -375,13 +397,13 @@ def throughput(s, d):
     return _catalog(s, d).select("id", r6(F.when(F.col("processing_time") > 0, F.col("file_size") / 1048576.0 / F.col("processing_time"))).alias("mb_a_second"))
 
 
-@query("""SELECT p_partkey, (w * least(CASE WHEN w > h THEN 2923 ELSE 2079 END / w, CASE WHEN w > h THEN 2079 ELSE 2923 END / h))::DOUBLE AS exact_width,
+@query("""SELECT p_partkey, floor(w * least(CASE WHEN w > h THEN 2923 ELSE 2079 END / w, CASE WHEN w > h THEN 2079 ELSE 2923 END / h))::INT AS width,
+  floor(h * least(CASE WHEN w > h THEN 2923 ELSE 2079 END / w, CASE WHEN w > h THEN 2079 ELSE 2923 END / h))::INT AS height,
   CASE WHEN h > w THEN 'portrait' WHEN w > h THEN 'landscape' ELSE 'square' END AS orientation FROM (SELECT p_partkey, (p_size * 50)::DOUBLE AS w, (p_partkey % 37 * 60 + 400)::DOUBLE AS h FROM part)""")
 def target_sizes(s, d):
     p = table(s, d, "part").select("p_partkey", (F.col("p_size") * 50).cast("double").alias("w"), (F.col("p_partkey") % 37 * 60 + 400).cast("double").alias("h"))
-    wide = F.col("w") > F.col("h")
-    factor = F.least(F.when(wide, 2923).otherwise(2079) / F.col("w"), F.when(wide, 2079).otherwise(2923) / F.col("h"))
-    return p.select("p_partkey", (F.col("w") * factor).alias("exact_width"), R.orientation(F.col("w"), F.col("h")).alias("orientation"))
+    width, height = R.target_size(F.col("w"), F.col("h"))
+    return p.select("p_partkey", width.alias("width"), height.alias("height"), R.orientation(F.col("w"), F.col("h")).alias("orientation"))
 
 
 @query(f"SELECT array_to_string(list_sort(list_distinct(list(t))), ',') AS common FROM (SELECT transformation_type AS t FROM {CAT} WHERE status = 'completed' INTERSECT SELECT transformation_type FROM {CAT} WHERE status = 'failed')")
@@ -391,7 +413,18 @@ def common_types(s, d):
     return both.agg(F.array_join(F.sort_array(F.collect_set("transformation_type")), ",").alias("common"))
 
 
-@query("SELECT mode, tasks, valid FROM (VALUES " + ", ".join(f"('{m}', {len(t)}, {'true' if modes.valid(m)[0] else 'false'})" for m, t in modes.MODES.items()) + ") v(mode, tasks, valid)")
+# Modes whose chains may run, for the order of their tasks or as standalone.
+_VALID = "full_pipeline orient_only orient_and_skew orient_skew_crop with_dpi_standardization with_denoising with_enhancement with_color_handling comprehensive_pipeline production_mode".split()
+_ALONE = "skew_only contrast_only segmentation_only color_handling_only deduplication_only language_detection_only metadata_extraction_only output_standardization_only".split()
+# Each mode's number of tasks.
+_TASKS = {
+    "full_pipeline": 12, "orient_only": 1, "skew_only": 1, "crop_only": 1, "orient_and_skew": 2, "orient_skew_crop": 3, "with_dpi_standardization": 4, "noise_only": 1, "with_denoising": 5, "contrast_only": 1,
+    "with_enhancement": 6, "segmentation_only": 1, "with_segmentation": 7, "color_handling_only": 1, "with_color_handling": 8, "deduplication_only": 1, "with_deduplication": 9, "language_detection_only": 1,
+    "metadata_extraction_only": 1, "output_standardization_only": 1, "comprehensive_pipeline": 12, "production_mode": 3,
+}
+
+
+@query("SELECT mode, tasks, valid FROM (VALUES " + ", ".join(f"('{m}', {n}, {'true' if m in _VALID + _ALONE else 'false'})" for m, n in _TASKS.items()) + ") v(mode, tasks, valid)")
 def chain_validity(s, d):
     return modes.relation(s).select("mode", "tasks", "valid")
 
@@ -420,12 +453,12 @@ def gamma_levels(s, d):
     return g.select("g", F.posexplode(R.gamma_table(F.col("g"))).alias("i", "level")).select("g", F.col("i").cast("bigint").alias("i"), "level")
 
 
-@query("SELECT vec_id, CASE WHEN abs(gap) <= 30 THEN 0 WHEN gap > 0 THEN least(50.0, gap)::DOUBLE ELSE -least(50.0, -gap) END AS shift FROM (SELECT vec_id, (180 - (128 + embedding[1]::DOUBLE * 400)) AS gap FROM embeddings)")
+@query("""SELECT vec_id, white, trunc(CASE WHEN abs(gap) <= 30 THEN 0 WHEN white THEN greatest(0.0, least(100.0, gap)) WHEN gap > 0 THEN least(50.0, gap) ELSE -least(50.0, -gap) END)::INT AS shift
+  FROM (SELECT vec_id, vec_id % 3 = 0 AS white, (180 - (128 + embedding[1]::DOUBLE * 400)) AS gap FROM embeddings)""")
 def brightness_shifts(s, d):
     mean = 128 + F.element_at("embedding", 1).cast("double") * 400
-    gap = 180 - mean
-    shift = F.when(F.abs(gap) <= 30, 0.0).when(gap > 0, F.least(F.lit(50.0), gap)).otherwise(-F.least(F.lit(50.0), -gap))
-    return table(s, d, "embeddings").select("vec_id", shift.alias("shift"))
+    white = F.col("vec_id") % 3 == 0
+    return table(s, d, "embeddings").select("vec_id", white.alias("white"), R.brightness_shift(mean, F.lit(180), F.lit(30), white).cast("int").alias("shift"))
 
 
 @query(f"SELECT id, coalesce(processed_image_path, original_image_path) AS image FROM {PAG} WHERE coalesce(processed_image_path, original_image_path) IS NOT NULL")
@@ -560,10 +593,10 @@ def ranked_events(s, d):
     return table(s, d, "events").select("user_id", "event_id", "event_type", F.row_number().over(w).alias("nth"), F.rank().over(Window.partitionBy("user_id").orderBy("event_type")).alias("type_rank"), r6(last).alias("last_five"))
 
 
-@query("SELECT event_id, strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H') AS hour_begin, count(*) OVER (PARTITION BY event_type, time_bucket(INTERVAL 1 HOUR, ts)) AS in_hour FROM events")
+@query("SELECT event_type, strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H') AS hour_begin, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")
 def hourly_windows(s, d):
-    hour = F.date_trunc("hour", F.col("ts").cast("timestamp"))
-    return table(s, d, "events").select("event_id", F.date_format(hour, "yyyy-MM-dd HH").alias("hour_begin"), F.count("*").over(Window.partitionBy("event_type", hour)).alias("in_hour"))
+    found = windows(table(s, d, "events").select("event_type", "ts", "value"), "event_type", "ts", "value")
+    return found.select("event_type", F.date_format("begin", "yyyy-MM-dd HH").alias("hour_begin"), "n", r6(F.col("mean")).alias("mean"))
 
 
 @query(f"""SELECT id, round((612 - w * k) / 2, 6) AS x, round((792 - h * k) / 2, 6) AS y FROM (SELECT id, w, h, least(612.0 / w, 792.0 / h) * 0.9 AS k FROM (SELECT id, (page_number % 40 * 50 + 300)::DOUBLE AS w, (page_size_bytes % 3000 + 300)::DOUBLE AS h FROM {PAG}))""")
