@@ -23,8 +23,12 @@ def p1_survivors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_precedence(spark: SparkSession, d: str) -> DataFrame:
-    """What the data say about which processing status follows which."""
-    return survivors.learn_precedence(table(spark, d, "document_hashes"), survivors.scan_group(), survivors.scan_status())
+    """What the data say about which processing status follows which, and about the declared orders of the other fields."""
+    hashes, group, status = table(spark, d, "document_hashes").dropDuplicates(["id"]), survivors.scan_group(), survivors.scan_status()
+    found = survivors.learn_precedence(hashes, group, status)
+    for field in survivors.scan_fields():
+        found = found.unionByName(survivors.learn_direction(hashes, group, field, status.time))
+    return found
 
 
 def _arrivals(spark: SparkSession, d: str) -> list[tuple[str, str, DataFrame, DataFrame]]:
@@ -39,13 +43,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_error_rate(spark: SparkSession, d: str) -> DataFrame:
-    """Per table: rows with a key, repeats by the 64-bit hash alone, verified repeats, and the share of wrong answers the verification averted."""
+    """Per table and width in bits: the rows that a hash alone answers wrongly, all of which verification averts."""
     out = None
     for t, _, history, rows in _arrivals(spark, d):
-        believed = seen_keys.seen_before(history, rows, f"p2-{t}-believed", verify=False).agg(F.count("*").alias("believed"))
-        verified = seen_keys.seen_before(history, rows, f"p2-{t}-verified").agg(F.count("*").alias("verified"))
-        one = rows.agg(F.count("*").alias("rows_with_key")).crossJoin(believed).crossJoin(verified)
-        one = one.select(F.lit(t).alias("table_name"), "rows_with_key", "believed", "verified", F.when(F.col("rows_with_key") > 0, (F.col("believed") - F.col("verified")) / F.col("rows_with_key")).otherwise(0.0).alias("wrong_share"))
+        one = seen_keys.error_rate(history, rows, f"p2-{t}-rate").select(F.lit(t).alias("table_name"), "*")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -98,6 +99,19 @@ v AS (
 SELECT duplicate_group_id, field_name, id FROM v JOIN g USING (duplicate_group_id)
 QUALIFY row_number() OVER (PARTITION BY duplicate_group_id, field_name ORDER BY score DESC, id) = 1"""
 
+_RANKS = "CASE WHEN file_size BETWEEN 1 AND 1073741824 THEN file_size::DOUBLE END AS file_size, CASE WHEN year(first_seen) BETWEEN 2020 AND 2025 THEN -epoch_us(first_seen)::DOUBLE END AS first_seen, CASE WHEN w::BIGINT > 0 AND h::BIGINT > 0 THEN w::DOUBLE * h::DOUBLE END AS image_dimensions"
+
+P1_PRECEDENCE_SQL = f"""
+WITH r AS (SELECT DISTINCT ON (id) id, duplicate_group_id AS g, processing_status AS v, last_seen AS t, file_size, first_seen,
+    nullif(regexp_extract(image_dimensions, {_DIMS}, 1), '') AS w, nullif(regexp_extract(image_dimensions, {_DIMS}, 2), '') AS h FROM document_hashes WHERE {_GROUP}),
+s AS (SELECT g, v, min(t) AS first, max(t) AS last FROM r WHERE v IS NOT NULL AND t IS NOT NULL GROUP BY ALL),
+c AS (SELECT a.v AS earlier, b.v AS later, count(*) AS support FROM s a JOIN s b ON a.g = b.g AND a.v <> b.v AND a.last < b.first GROUP BY ALL),
+x AS (UNPIVOT (SELECT g, t, {_RANKS} FROM r WHERE t IS NOT NULL) ON file_size, first_seen, image_dimensions INTO NAME field VALUE rank),
+e AS (SELECT field, g, max(t) FILTER (rank = least) AS last, min(t) FILTER (rank = most) AS first
+  FROM (SELECT *, min(rank) OVER w AS least, max(rank) OVER w AS most FROM x WINDOW w AS (PARTITION BY field, g)) WHERE least < most GROUP BY ALL)
+SELECT 'processing_status' AS field, c.earlier, c.later, c.support, coalesce(o.support, 0) AS against FROM c LEFT JOIN c o ON o.earlier = c.later AND o.later = c.earlier
+UNION ALL SELECT field, 'worst', 'best', count_if(last < first), count_if(last > first) FROM e GROUP BY field"""
+
 P2_SQL = f"""
 WITH a AS (SELECT 'pages' AS table_name, 'page' AS kind, ingest_id AS id, {_digest("page_hash")} AS k FROM pages
   UNION ALL SELECT 'documents', 'content', doc_id, {_digest("content_hash")} FROM documents),
@@ -123,6 +137,7 @@ WHERE n.batch_no >= 1 GROUP BY n.id"""
 
 SQL = {
     "p1_found": P1_SQL,
+    "p1_precedence": P1_PRECEDENCE_SQL,
     "p2_found": P2_SQL,
     "p5_found": P5_SQL,
     "p5_groups": f"SELECT members, count(*) AS group_count FROM (SELECT group_id, count(*) AS members FROM ({P5_SQL}) GROUP BY 1) GROUP BY 1",

@@ -6,8 +6,9 @@ to probe are those at the same place). The index stores for each hash one entry
 joins on the entry and verifies the distance. With 5 segments and 3 errors an entry has 25 or 26 bits, so that the chance
 candidates of a probe stay few; digests are entries of their own kind, verified in full.
 
-The index is bucketed by entry. A batch is appended to it and probed against it: history is neither shuffled nor indexed again. Copies of a hash or digest count
-once in it, with the smallest id that has it, and no pairs within them ever arise.
+The index consists of the levelled runs of ``scanloom.llm.runs``, by entry. A batch is appended to it and probed against it: history is neither read again as a source,
+nor shuffled, nor sorted. ``SegmentIndex`` opens what its folder holds, so the index outlives the session. Copies of a hash or digest count
+once in it, with the smallest id that has it, and no pairs within them ever arise. Entries that very many hashes share (near-blank scans) are split over several tasks.
 
 Defined cases: values without a digest and values that are no 64-bit hash match nothing; ids are in the order of the batches; repeated rows
 count once; records without an id are left out; batches without records, and an empty table, give no rows.
@@ -15,38 +16,24 @@ count once; records without an id are left out; batches without records, and an
 
 from __future__ import annotations
 
-import itertools
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanloom.functions.keys import digest, hash64
+from scanloom.llm.runs import SALTS, Runs, sorted_scans
+from scanloom.operators.dedup import ERRORS, segment_entries
 from scanloom.plans.skew import salted_join
 from scanloom.plans.workspace import Workspace
 
-SEGMENTS, ERRORS, BITS = 5, 3, 64
-
-
-def segment_bounds(segments: int = SEGMENTS, bits: int = BITS) -> list[tuple[int, int]]:
-    """(first bit, length) of each segment; lengths differ by one at most."""
-    lengths = [bits // segments + (i < bits % segments) for i in range(segments)]
-    return [(sum(lengths[:i]), n) for i, n in enumerate(lengths)]
-
-
-def segment_entries(value: Column, segments: int = SEGMENTS, errors: int = ERRORS) -> Column:
-    """The index entries of a 64-bit value: one for each choice of ``segments - errors`` segments."""
-    cut = [F.shiftrightunsigned(value, start).bitwiseAND(F.lit(2**n - 1).cast("bigint")) for start, n in segment_bounds(segments)]
-    return F.array(*[F.xxhash64(F.lit(i), *[cut[s] for s in chosen]) for i, chosen in enumerate(itertools.combinations(range(segments), segments - errors))])
+COLUMNS = "entry bigint, hash bigint, digest binary, first bigint"
+HOT_HASHES = 20_000
 
 
 class SegmentIndex:
-    """An appendable index of idents: ``hash`` (bigint) or ``digest`` (binary), each with the smallest id that has it."""
+    """An appendable index of idents: ``hash`` (bigint) or ``digest`` (binary), each with the smallest id that has it; in a folder that is kept."""
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.ws = spark, Workspace(spark, name)
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.table = f"segments_{uuid.uuid4().hex[:16]}"
+    def __init__(self, spark: SparkSession, folder: str, *, fanout: int = 4):
+        self.runs = Runs(spark, folder, COLUMNS, "entry", ["entry", "hash", "digest"], {"first": "min(first)"}, fanout=fanout, hot_rows=HOT_HASHES)
 
     @staticmethod
     def entries(idents: DataFrame) -> DataFrame:
@@ -55,22 +42,30 @@ class SegmentIndex:
         return idents.withColumn("entry", F.explode(F.when(F.col("hash").isNotNull(), segment_entries(F.col("hash"))).otherwise(of_digest)))
 
     def append(self, idents: DataFrame) -> None:
-        """Adds idents (hash, digest, first)."""
-        rows = self.entries(idents).select("entry", "hash", "digest", "first").repartition(self.buckets, "entry")
-        rows.write.mode("append").format("parquet").option("path", self.ws.path(self.table)).bucketBy(self.buckets, "entry").sortBy("entry").saveAsTable(self.table)
-
-    def close(self) -> None:
-        """Forgets the index and removes its files; results must have been saved."""
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
-        self.ws.drop(self.table)
+        """Adds idents (hash, digest, first), each once."""
+        self.runs.append(self.entries(idents))
 
     def probe(self, idents: DataFrame, errors: int = ERRORS) -> DataFrame:
-        """For each of the idents (hash, digest) that has a match: the least ``first`` among all matches, as ``seen``."""
-        p, r = self.entries(idents.select("hash", "digest")).alias("p"), self.spark.table(self.table).alias("r")
+        """For each of the idents (hash, digest) that has a match: the least ``first`` among all matches, as ``seen``; use within ``sorted_scans``."""
+        probes = self.entries(idents.select("hash", "digest"))
+        hot = self.runs.hot_keys()
+        is_hot = F.col("entry").isin(hot) if hot else F.lit(False)
         near = F.bit_count(F.col("p.hash").bitwiseXOR(F.col("r.hash"))) <= errors
         same = F.when(F.col("p.hash").isNotNull(), near).otherwise(F.col("p.digest") == F.col("r.digest"))
-        hits = p.join(r.hint("merge"), (F.col("p.entry") == F.col("r.entry")) & same)
-        return hits.groupBy("p.hash", "p.digest").agg(F.min("r.first").alias("seen"))
+        found = None
+        for run in self.runs.scans(self.runs.fenced(probes)):
+            pairs = [(probes.where(~is_hot).alias("p"), run.where(~is_hot).alias("r"), F.col("p.entry") == F.col("r.entry"))]
+            if hot:
+                # The index's rows of a hot entry are dealt to the salts, the probes repeated for each.
+                dealt = run.where(is_hot).withColumn("salt", F.pmod(F.xxhash64("hash", "digest"), F.lit(SALTS)).cast("int"))
+                copies = probes.where(is_hot).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+                pairs.append((copies.alias("p"), dealt.alias("r"), (F.col("p.entry") == F.col("r.entry")) & (F.col("p.salt") == F.col("r.salt"))))
+            for p, r, on in pairs:
+                part = p.join(r.hint("merge"), on & same).select("p.hash", "p.digest", "r.first")
+                found = part if found is None else found.unionByName(part)
+        if found is None:
+            return idents.select("hash", "digest", F.lit(None).cast("bigint").alias("seen")).limit(0)
+        return found.groupBy("hash", "digest").agg(F.min("first").alias("seen"))
 
 
 def _idents(records: DataFrame) -> DataFrame:
@@ -84,15 +79,16 @@ def repeats(hashes: DataFrame, *, name: str = "segments") -> DataFrame:
     spark = hashes.sparkSession
     ws = Workspace(spark, name)
     records = ws.save(hashes.where("id IS NOT NULL").select("id", "batch_no", hash64("perceptual_hash").alias("hash"), F.unhex(digest("content_hash")).alias("digest")), "records")
-    index, found = SegmentIndex(spark, name), None
+    index, found = SegmentIndex(spark, ws.path("index")), None
     batches = sorted(r[0] for r in records.where("batch_no IS NOT NULL").select("batch_no").distinct().collect())
     for n in batches:
         batch = ws.save(_idents(records.where(F.col("batch_no") == n)), f"idents-{n}")
         index.append(batch)
         if n >= 1:
-            part = ws.save(index.probe(batch), f"seen-{n}")
+            with sorted_scans(spark):
+                part = ws.save(index.probe(batch), f"seen-{n}")
             found = part if found is None else found.unionByName(part)
-    index.close()
+    index.runs.destroy()
     if found is None:
         return spark.createDataFrame([], "seen_id bigint, new_id bigint")
     new = records.where("batch_no >= 1").select("id", "hash", "digest")

@@ -10,7 +10,10 @@ Contracting all places of the least pair at once equals contracting the leftmost
 contracted token only occurs in pairs of higher rank.
 
 The driver reads the vocabulary file and broadcasts its merge table (three integers a merge, checked
-against ``MOST_MERGES``). A task's memory of words is emptied when it holds ``MOST_WORDS``
+against ``MOST_MERGES``). A word of more than ``LONG_WORD`` bytes (an unbroken blob) would take
+the recursion a step a merge, each over the whole word; such words are contracted by a queue of their pairs in the same order instead.
+
+A task's memory of words is emptied when it holds ``MOST_WORDS``
 of them, and forgets pieces longer than ``LONG`` at once; results do not depend on it.
 
 Defined cases: null and empty texts give an empty list of ids; texts are encoded whole, whatever their length and
@@ -24,6 +27,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +37,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 MOST_MERGES = 1_000_000
 MOST_WORDS = 300_000
 LONG = 200
+LONG_WORD = 1_000
 
 # The tokenizer's pattern for words, and the bytes that its vocabulary writes as themselves.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -111,12 +116,44 @@ class Encoder:
         self.db.register("given", merges)
         self.db.execute("CREATE TABLE merges AS SELECT (a::BIGINT << 32) | b AS pair, rank, id FROM given")
         self.db.unregister("given")
+        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
         self.words: dict[str, array] = {}
         self.chunks: dict[str, array] = {}
 
+    def _contracted(self, raw: bytes) -> array:
+        """Ids of one long word: the pair of least rank, leftmost first, again and again; in time n log n."""
+        if not self.pairs:
+            v = self.vocabulary
+            self.pairs = {(a, b): (rank, i) for rank, (a, b, i) in enumerate(zip(v.left.tolist(), v.right.tolist(), v.result.tolist()))}
+        tokens = self.vocabulary.byte_ids[np.frombuffer(raw, dtype=np.uint8)].tolist()
+        n, pairs = len(tokens), self.pairs
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        queue = [(pairs[p][0], i) for i, p in enumerate(zip(tokens, tokens[1:])) if p in pairs]
+        heapify(queue)
+        while queue:
+            rank, i = heappop(queue)
+            j = after[i]
+            # Entries of tokens that have since been contracted otherwise no longer have their rank.
+            if tokens[i] < 0 or j >= n or pairs.get((tokens[i], tokens[j]), (-1,))[0] != rank:
+                continue
+            tokens[i], tokens[j], after[i] = pairs[tokens[i], tokens[j]][1], -1, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+                if (p := (tokens[i], tokens[after[i]])) in pairs:
+                    heappush(queue, (pairs[p][0], i))
+            if before[i] >= 0 and (p := (tokens[before[i]], tokens[i])) in pairs:
+                heappush(queue, (pairs[p][0], before[i]))
+        return array("i", [t for t in tokens if t >= 0])
+
     def _merge(self, words: list[str]) -> None:
-        """Ids of new words by the recursive query."""
+        """Ids of new words, of all but the long ones by the recursive query."""
         raw = [w.encode("utf-8") for w in words]
+        for w, r in zip(words, raw):
+            if len(r) > LONG_WORD:
+                self.words[w] = self._contracted(r)
+        words, raw = [w for w, r in zip(words, raw) if len(r) <= LONG_WORD], [r for r in raw if len(r) <= LONG_WORD]
+        if not words:
+            return
         lengths = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
         ids = self.vocabulary.byte_ids[np.frombuffer(b"".join(raw), dtype=np.uint8)]
         owner = np.repeat(np.arange(len(raw), dtype=np.int32), lengths)

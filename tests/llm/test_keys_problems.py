@@ -6,7 +6,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from scanloom.llm import components, seen_keys, segments, survivors
+from scanloom.llm import components, runs, seen_keys, segments, survivors
+from scanloom.operators import dedup
 
 
 def rows(df, *columns):
@@ -94,10 +95,9 @@ def test_seen_cases(spark):
     assert seen_keys.seen_before(history, key(arrivals.limit(0)), "t").count() == 0
 
 
-def test_runs_compact_and_stay_exact(spark, monkeypatch):
+def test_runs_compact_and_stay_exact(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(seen_keys, "HOT_ROWS", 5)
-    runs, known, expected, got = seen_keys.SortedRuns(spark, "t", fanout=2), set(), set(), set()
-    row = 0
+    known, expected, got, row = set(), set(), set(), 0
     for batch in range(5):
         data = []
         for i in range(30):
@@ -108,10 +108,56 @@ def test_runs_compact_and_stay_exact(spark, monkeypatch):
                 expected.add(row)
             known.add(k)
         df = key(spark.createDataFrame(data, "row long, digest string"))
-        runs.append(df)
-        got |= {r.row for r in runs.probe(df).collect()}
+        # Each batch meets what the last one left in the folder, and nothing else.
+        store = seen_keys.SeenKeys(spark, f"file://{tmp_path}/keys", fanout=2)
+        monkeypatch.setattr(runs, "FENCED", 1_000 if batch % 2 else 3)
+        store.append(df)
+        with runs.sorted_scans(spark):
+            found = store.probe(df)
+            if not store.runs.hot_keys():
+                assert found._jdf.queryExecution().executedPlan().toString().count("Sort ") <= len(store.runs.runs)
+            got |= {r.row for r in found.collect()}
+        levels = [r["level"] for r in store.runs.runs]
+        store.runs.close()
     assert got == expected
-    assert len(runs.runs) < 5 and max(lv for lv, _ in runs.runs) >= 2
+    assert len(levels) < 5 and max(levels) >= 2
+    assert len(list((tmp_path / "keys").glob("manifest-*"))) == 1 and len(list((tmp_path / "keys").glob("level-*"))) == len(levels)
+
+
+def test_wrong_answers_are_counted(spark):
+    data = [(i, f"{i * 7919:064x}") for i in range(1, 1500)] + [(2000 + i, f"{i * 7919:064x}") for i in range(1, 300)]
+    history = spark.createDataFrame([(f"{i:064x}",) for i in range(100)], "digest string").select(F.unhex("digest").alias("key"))
+    arrivals = key(spark.createDataFrame(data, "row long, digest string"))
+    hashes = {r.row: r.h for r in arrivals.select("row", F.xxhash64("key").alias("h")).collect()}
+    old = {r.h for r in history.select(F.xxhash64("key").alias("h")).collect()}
+    for r in seen_keys.error_rate(history, arrivals, "t", (8, 16, 64)).collect():
+        cut = lambda h, w=r.width: (h % 2**64) >> (64 - w)
+        taken, keys, wrong = {cut(h) for h in old}, set(old), 0
+        for row in sorted(hashes):
+            wrong += cut(hashes[row]) in taken and hashes[row] not in keys
+            taken.add(cut(hashes[row]))
+            keys.add(hashes[row])
+        assert (r.wrong, r.rows_with_key) == (wrong, len(data)) and (wrong == 0 if r.width == 64 else wrong > 0 or r.width == 16)
+
+
+def test_segment_index_is_kept(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(segments, "HOT_HASHES", 4)
+    idents = lambda rows: spark.createDataFrame(rows, "hash long, digest binary, first long")
+    for n in range(4):
+        index = segments.SegmentIndex(spark, f"file://{tmp_path}/index", fanout=3)
+        index.append(idents([(1 << (20 + 3 * n + i), None, 10 * n + i) for i in range(3)] + [(None, bytes([n]), 100 + n)]))
+        index.runs.close()
+    index = segments.SegmentIndex(spark, f"file://{tmp_path}/index")
+    assert index.runs.hot_keys() and max(r["level"] for r in index.runs.runs) == 1
+    with runs.sorted_scans(spark):
+        probe = index.probe(idents([(0, None, 0), (0b1111 << 40, None, 0), (None, b"\x02", 0), (None, b"\x09", 0)]))
+        assert rows(probe, "seen") == [(0,), (102,)]
+        cold = index.probe(idents([(None, bytes([i % 250, i // 250]), i) for i in range(2_000)]))
+        # One exchange and one sort a run for the probes, in both parts (hot or not); the runs that are not hot are only scanned.
+        tree = cold._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        assert "Bucketed: true" in tree
+        assert cold.count() == 0
+    index.runs.destroy()
 
 
 def union_find(pairs):
@@ -165,8 +211,8 @@ def test_segment_entries_share_one_within_errors(spark):
             y ^= 1 << bit
         data.append((x - (1 << 64) if x >> 63 else x, y - (1 << 64) if y >> 63 else y))
     df = spark.createDataFrame(data, "x long, y long")
-    assert df.where(F.arrays_overlap(segments.segment_entries(F.col("x")), segments.segment_entries(F.col("y")))).count() == 60
-    assert sum(n for _, n in segments.segment_bounds()) == 64
+    assert df.where(F.arrays_overlap(dedup.segment_entries(F.col("x")), dedup.segment_entries(F.col("y")))).count() == 60
+    assert sum(n for _, n in dedup.segment_bounds()) == 64
 
 
 def test_repeats_equal_brute_force(spark):

@@ -60,3 +60,18 @@ def test_any_text_equals_library(encoder, library, texts):
 @given(st.text(alphabet=" \n\t\r\x0c\x1c  ab1'.s", max_size=60))
 def test_white_space_equals_library(encoder, library, text):
     assert ids_of(encoder, [text]) == library([text])
+
+
+def test_long_words(spark):
+    import random
+    import time
+
+    draw = random.Random(5)
+    encoder = tokenize.Encoder(tokenize.Vocabulary.read())
+    blobs = ["".join(draw.choice("abcdefghij") for _ in range(n)) for n in (999, 1001, 1500)] + ["a" * 1300, "é" * 700, "".join(draw.choice("etaoinshrdlu") for _ in range(40_000))]
+    offsets, ids = encoder.encode(blobs)
+    began = time.time()
+    encoder._contracted(blobs[-1].encode())
+    assert time.time() - began < 5
+    for i, blob in enumerate(blobs[:5]):
+        assert ids[offsets[i] : offsets[i + 1]].tolist() == encoder._contracted(blob.encode()).tolist() == library().encode(blob, add_special_tokens=False).ids
