@@ -72,7 +72,7 @@ class Runs:
     def _commit(self, gone: list[dict]) -> None:
         """The present runs as the next manifest; then the files of the ones that are gone."""
         self.number += 1
-        kept = [{k: run[k] for k in ("name", "level", "hot", "rows")} for run in self.runs]
+        kept = [{k: run[k] for k in ("name", "level", "hot")} for run in self.runs]
         fs, p = self._fs(f"{self.folder}/manifest-{self.number:08d}.json")
         out = fs.create(p, False)
         out.write(bytearray(json.dumps({"number": self.number, "buckets": self.buckets, "runs": kept}).encode()))
@@ -103,9 +103,12 @@ class Runs:
         table = f"run_{uuid.uuid4().hex[:16]}"
         placed = rows.select(*[c.split()[0] for c in self.columns.split(", ")]).repartition(self.buckets, self.key)
         placed.write.format("parquet").option("path", f"{self.folder}/{name}").bucketBy(self.buckets, self.key).sortBy(*self.group).saveAsTable(table)
-        counts = self.spark.table(table).groupBy(self.key).agg(F.sum(F.expr(self.weight)).alias("n"))
-        hot = counts.where(F.col("n") >= self.hot_rows).orderBy(F.desc("n")).limit(HOT).collect()
-        self.runs.append({"name": name, "table": table, "level": level, "hot": [r[0] for r in hot], "rows": self.spark.table(table).count()})
+        total = self.spark.table(table).agg(F.sum(F.expr(self.weight))).first()[0] or 0
+        hot = []
+        if total >= self.hot_rows:
+            counts = self.spark.table(table).groupBy(self.key).agg(F.sum(F.expr(self.weight)).alias("n"))
+            hot = counts.where(F.col("n") >= self.hot_rows).orderBy(F.desc("n")).limit(HOT).collect()
+        self.runs.append({"name": name, "table": table, "level": level, "hot": [r[0] for r in hot]})
 
     def append(self, rows: DataFrame) -> None:
         """Adds rows (of ``columns``, already grouped) as a run of level 0, and merges what there is to merge."""
