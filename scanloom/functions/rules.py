@@ -41,6 +41,29 @@ def overall_quality(flags: Column) -> Column:
     return chosen((n == 0, "excellent"), (n == 1, "good"), (n == 2, "fair"), otherwise="poor")
 
 
+# What a flagged output is told.
+ADVICE = {
+    "multi_page_detected": "Document may contain multiple pages",
+    "low_contrast": "Low contrast detected - consider enhancement",
+    "blurred": "Image appears blurred - OCR accuracy may be affected",
+    "orientation_issues": "Orientation may need correction",
+    "skew_issues": "Document appears skewed - correction recommended",
+}
+
+
+def output_flags(multipage: Column, contrast: Column, sharpness: Column, orientation_confidence: Column, skew: Column) -> Column:
+    """What is wrong with an output, in order."""
+    return labels(
+        (multipage, "multi_page_detected"), (contrast < 50, "low_contrast"), (sharpness < 100, "blurred"), (orientation_confidence < 0.7, "orientation_issues"), (F.abs(skew) > 2, "skew_issues")
+    )
+
+
+def recommendations(flags: Column) -> Column:
+    """The advice for each of the flags, in order."""
+    known = F.create_map(*[F.lit(x) for pair in ADVICE.items() for x in pair])
+    return F.transform(flags, lambda f: F.element_at(known, f))
+
+
 def skew_angle(proj: Column, hough: Column, hough_conf: Column, text: Column, text_conf: Column) -> Column:
     """One angle out of three estimates: a supported projection, a confident second opinion, else the weighted mean of what there is."""
     clear = F.abs(proj) > 3

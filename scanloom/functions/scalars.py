@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,6 +50,15 @@ def parameter_hash(*columns: str) -> Column:
     return F.md5(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}))
 
 
+def environment_hash(spark) -> Column:
+    """MD5 of what a result may depend on besides its parameters: the versions at work. No times, so that it is reproducible."""
+    import platform
+
+    import numpy
+
+    return F.lit(hashlib.md5(json.dumps({"numpy": numpy.__version__, "python": platform.python_version(), "spark": spark.version}, sort_keys=True).encode()).hexdigest())
+
+
 def fitted_box(width: Column, height: Column, page_width: float = 612.0, page_height: float = 792.0, share: float = 0.9) -> dict[str, Column]:
     """Where an image goes on a page: scaled to the share, centred."""
     scale = F.least(page_width / width, page_height / height) * share

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from scanloom.kernels import enhance as E
+from scanloom.kernels import features as T
 from scanloom.kernels import raster as X
 
 
@@ -34,7 +36,7 @@ def measures(page: np.ndarray) -> dict:
         "text_density": blank_density(g), "noise": float(np.abs(g - X.box(g, 5)).mean() / 255), "gradient": float(np.hypot(gx, gy).mean()),
         "margin_left": _margin(g.mean(0)), "margin_right": _margin(g.mean(0)[::-1]), "margin_top": _margin(g.mean(1)), "margin_bottom": _margin(g.mean(1)[::-1]),
         "left": int(dark[:, : w // 2].sum()), "right": int(dark[:, w // 2 :].sum()), "top": int(dark[: h // 2].sum()), "bottom": int(dark[h // 2 :].sum()),
-        "grid": grid, "columns": text_columns(g),
+        "grid": grid, "columns": text_columns(g), "multipage": looks_multipage(g), "orientation_confidence": orientation_confidence(g), "features": T.page_features(page, grid),
     }
 
 
@@ -120,9 +122,23 @@ def skew_estimates(page: np.ndarray, reach: float = 15) -> dict:
 
 
 def _slope(ink: np.ndarray, r: dict) -> float:
+    """The angle of the least box around a line's ink."""
     ys, xs = np.nonzero(ink[r["y"] : r["y"] + r["h"], r["x"] : r["x"] + r["w"]])
-    vx = xs.var()
-    return float(np.rad2deg(np.arctan(((xs - xs.mean()) * (ys - ys.mean())).mean() / vx))) if vx else 0.0
+    return X.least_box_angle(np.stack([xs, ys], 1)) if len(xs) else 0.0
+
+
+def skew_decision(e: dict) -> float:
+    """The one angle that the rule ``rules.skew_angle`` makes of the estimates."""
+    proj, hough, text = e["projection"], e["hough"], e["text"]
+    if abs(proj) > 3 and (abs(hough - proj) < 2 or abs(text - proj) < 2):
+        return proj
+    if e["hough_confidence"] > 5 and abs(hough) > 3:
+        return hough
+    if e["text_confidence"] > 3 and abs(text) > 3:
+        return text
+    parts = [(proj, 3.0 * (abs(proj) > 3)), (hough, 2.0 * (e["hough_confidence"] > 0)), (text, 1.5 * (e["text_confidence"] > 0))]
+    weight = sum(w for _, w in parts)
+    return sum(a * w for a, w in parts) / weight if weight else proj
 
 
 def deskew(page: np.ndarray, angle: float, least: float = 3.0) -> np.ndarray:
@@ -157,18 +173,26 @@ def content_box(page: np.ndarray, density: float = 0.02, quiet: float = 0.001, r
     return x0, y0, x1, y1
 
 
-def crop(page: np.ndarray) -> np.ndarray:
+def crop(page: np.ndarray, *, fast: bool = False) -> np.ndarray:
+    """The ink's box, without punch holes and, unless ``fast``, without the edges that scanners leave."""
     x0, y0, x1, y1 = content_box(page)
-    return page[y0:y1, x0:x1]
+    cut = punch_holes(page[y0:y1, x0:x1])
+    return cut if fast else E.scanner_edges(cut)[0]
 
 
-def punch_holes(page: np.ndarray) -> np.ndarray:
-    """Dark round spots filled from around them."""
+def hole_mask(page: np.ndarray) -> np.ndarray:
+    """The mask of dark round spots."""
     g = X.gray(page)
     mask = X.opened(g < 100, 3, 3)
     labels, _ = X.label(mask)
-    holes = [i + 1 for i, r in enumerate(X.regions(mask)) if 15 <= r["area"] <= 400 and 4 * np.pi * r["area"] / max(1, r["perimeter"]) ** 2 > 0.5]
-    return X.fill_holes(g, X.dilate(np.isin(labels, holes), 3, 3)) if holes else g
+    holes = [i + 1 for i, r in enumerate(X.regions(mask)) if 15 <= r["area"] <= 400 and 4 * np.pi * r["area"] / max(1, r["perimeter"]) ** 2 > 0.5 and 0.7 < r["w"] / r["h"] < 1.4]
+    return X.dilate(np.isin(labels, holes), 3, 3) if holes else np.zeros(g.shape, bool)
+
+
+def punch_holes(page: np.ndarray) -> np.ndarray:
+    """Punch holes filled from around them."""
+    holes = hole_mask(page)
+    return E.per_channel(page, lambda g: X.fill_holes(g, holes)) if holes.any() else page
 
 
 def page_bounds(page: np.ndarray, bright: float = 0.95, gap: float = 0.05, least: float = 0.2) -> list[tuple[int, int]]:
@@ -194,56 +218,56 @@ def split(page: np.ndarray, margin: int = 20) -> list[np.ndarray]:
 # ---- size, noise, contrast
 
 
-def standard_size(page: np.ndarray, short: int = 2079, long: int = 2923) -> np.ndarray:
-    """Scaled into an A4 page at 250 dpi, lying or standing as the page does; in steps of two when much is missing."""
+def standard_size(page: np.ndarray, short: int = 2079, long: int = 2923, *, recognition: str | None = None) -> np.ndarray:
+    """Scaled into an A4 page at 250 dpi, lying or standing as the page does. Enlarged pages are sharpened; ``recognition`` names a mode of ``for_recognition`` to follow."""
     h, w = page.shape[:2]
     most_w, most_h = (long, short) if w > h else (short, long)
     f = min(most_w / w, most_h / h)
     H, W = max(1, int(h * f)), max(1, int(w * f))
-    while f > 4:
-        page = X.resize(page, page.shape[0] * 2, page.shape[1] * 2, "lanczos")
-        f /= 2
-    return X.resize(page, H, W, "lanczos" if f > 1 else "area")
-
-
-def unsharp(g: np.ndarray, sigma: float = 1.2, strength: float = 0.8) -> np.ndarray:
-    a = g.astype(X.F32)
-    return np.clip(np.rint(a + strength * (a - X.gaussian(a, 5, sigma))), 0, 255).astype(np.uint8)
+    if f > 4:
+        out = E.enlarge(page, H, W)
+    else:
+        out = X.resize(page, H, W, "lanczos" if f > 1 else "area")
+    out = E.sharpen_scaled(out, f) if f > 1 else out
+    return E.for_recognition(out, recognition) if recognition else out
 
 
 def noise_measures(g: np.ndarray) -> dict:
     gx, gy = X.sobel(g)
-    calm = np.hypot(gx, gy) <= np.percentile(np.hypot(gx, gy), 20)
-    return {"noise": float(X.laplacian(g).var() / 1e4), "background": float(g[calm].var()) if calm.any() else 0.0, "salt_pepper": float(((g == 0) | (g == 255)).mean()), "spots": float((np.abs(g.astype(int) - X.median3(g)) > 60).mean())}
+    slope = np.hypot(gx, gy)
+    calm = slope <= np.percentile(slope, 20)
+    return {
+        "noise": float(X.laplacian(g).var() / 1e4), "background": float(g[calm].var()) if calm.any() else 0.0, "salt_pepper": float(((g == 0) | (g == 255)).mean()),
+        "spots": float((np.abs(g.astype(int) - X.median3(g)) > 60).mean()), "bleeds": E.bleeds_through(g), "text_density": float((g < 128).mean()),
+    }
+
 
+def denoise(page: np.ndarray, *, median: bool = True, smooth: bool = True, nlm: bool = True, background: bool = True, cleanup: bool = True, faithful: bool = False) -> np.ndarray:
+    """Gray: spots by the median, grain by the bilateral filter, what is left by non-local means; then the background, what shines through, and a last sharpening.
 
-def denoise(page: np.ndarray, *, median: bool = True, smooth: bool = True, nlm: bool = True) -> np.ndarray:
-    """Gray: spots by the median, grain by the bilateral filter, what is left by non-local means."""
+    The median is for spots that stand out from their surroundings; ``faithful`` takes all black and white pixels for such.
+    """
     g = X.gray(page)
     found = noise_measures(g)
-    if median and found["spots"] > 0.01:
+    if median and found["salt_pepper" if faithful else "spots"] > 0.01:
         g = X.median3(g)
     if smooth:
         g = X.bilateral(g)
-    if nlm and X.laplacian(g).var() / 1e4 > 0.02:
+    if nlm and found["noise"] > 0.02 and X.laplacian(g).var() / 1e4 > 0.02:
         g = X.nonlocal_means(g)
-    return g
+    if background:
+        g = E.clean_background(g)
+    if background and found["bleeds"]:
+        g = E.without_bleeding(g)
+    return E.sharpen(g, "cleanup") if cleanup else g
 
 
-def stretch(g: np.ndarray, low: float = 2, high: float = 98) -> np.ndarray:
-    a, b = np.percentile(g, [low, high])
-    return g if b <= a else np.clip(np.rint((g.astype(X.F32) - a) * 255 / (b - a)), 0, 255).astype(np.uint8)
+def enhance(page: np.ndarray, **options) -> np.ndarray:
+    """The contrast chain, with the fields of ``Contrast`` as options."""
+    return E.enhance(page, E.Contrast(**options))
 
 
-def enhance(page: np.ndarray, *, target: float = 180, tolerance: float = 30, gamma: float = 1.2, clip: float = 1.5, white: int | None = None) -> np.ndarray:
-    """Gray: brightness towards the target, gamma, stretch, local equalisation, and a white background if a level is given."""
-    g = X.gray(page)
-    gap = target - g.mean()
-    if abs(gap) > tolerance:
-        g = np.clip(g.astype(int) + int(np.clip(gap, -50, 50)), 0, 255).astype(np.uint8)
-    table = ((np.arange(256) / 255.0) ** (1 / gamma) * 255).astype(np.uint8)
-    g = X.clahe(stretch(table[g]), clip)
-    return np.where(g >= white, 255, g).astype(np.uint8) if white is not None else g
+white_background, clean_background, ink_boxes = E.white_background, E.clean_background, T.ink_boxes
 
 
 # ---- colour
@@ -266,19 +290,27 @@ def colour_regions(page: np.ndarray) -> list[dict]:
     h, w = page.shape[:2]
     for kind, inks, areas, fill, grow in (("stamp", ("red", "green", "purple"), (100, 50_000), 0.05, 15), ("signature", ("blue", "purple"), (50, 20_000), 0.03, 10)):
         for ink in inks:
-            for r in X.regions(X.closed(masks[ink], 5, 5)):
-                aspect, solid = r["w"] / r["h"], r["area"] / (r["w"] * r["h"])
+            closed = X.closed(masks[ink], 5, 5)
+            labels, _ = X.label(closed)
+            for i, r in enumerate(X.regions(closed), 1):
+                if not areas[0] <= r["area"] <= areas[1] or r["area"] / (r["w"] * r["h"]) < fill:
+                    continue
+                ys, xs = np.nonzero(labels[r["y"] : r["y"] + r["h"], r["x"] : r["x"] + r["w"]] == i)
+                aspect, solid = r["w"] / r["h"], r["area"] / max(1.0, X.hull_area(np.stack([xs, ys], 1)))
                 round_ = 4 * np.pi * r["area"] / max(1.0, r["perimeter"]) ** 2
-                if areas[0] <= r["area"] <= areas[1] and solid >= fill and (kind != "stamp" or (round_ > 0.1 and 0.3 <= aspect <= 3 and solid > 0.4)):
+                if kind != "stamp" or (round_ > 0.1 and 0.3 <= aspect <= 3 and solid > 0.4):
                     x, y = max(0, r["x"] - grow), max(0, r["y"] - grow)
                     out.append({"type": kind, "ink": ink, "x": x, "y": y, "w": min(w, r["x"] + r["w"] + grow) - x, "h": min(h, r["y"] + r["h"] + grow) - y, "area": float(r["area"]), "circularity": float(min(1.0, round_)), "aspect_ratio": float(aspect), "solidity": float(solid)})
     return out
 
 
-def gray_with_colour(page: np.ndarray) -> np.ndarray:
-    """A gray copy for recognition in which coloured regions keep their colour."""
-    g = X.clahe(X.gray(page), 1.2, 8)
-    out = np.repeat(g[..., None], 3, -1)
+def gray_with_colour(page: np.ndarray, factor: float = 1.0) -> np.ndarray:
+    """A gray copy for recognition in which coloured regions keep their colour: locally equalised and slightly raised, by a tenth of its brightness at most."""
+    g = X.gray(page)
+    raised = np.clip(X.clahe(g, min(1.2, factor * 1.2), 16) * 1.02, 0, 255)
+    if g.mean() > 0 and raised.mean() / g.mean() > 1.1:
+        raised = raised * (1.1 * g.mean() / raised.mean())
+    out = np.repeat(raised.astype(np.uint8)[..., None], 3, -1)
     for r in colour_regions(page):
         box = np.s_[r["y"] : r["y"] + r["h"], r["x"] : r["x"] + r["w"]]
         out[box] = page[box]
@@ -313,33 +345,6 @@ def thumbnail(page: np.ndarray, most: int = 200) -> np.ndarray:
     return shrink(page, most)
 
 
-def ink_boxes(page: np.ndarray) -> dict[str, list[dict]]:
-    """Boxes that by size and shape may be form fields, signatures, barcodes or logos."""
-    g = X.gray(page)
-    found = X.regions(X.closed(g < X.otsu(g) + 1, 3, 3))
-    kinds = {
-        "form_field": lambda r, a, n: 1000 < n < 50_000 and a > 2,
-        "signature": lambda r, a, n: 500 < n < 20_000 and 1.5 < a < 8 and r["area"] / n < 0.5,
-        "barcode": lambda r, a, n: 1000 < n < 30_000 and 2 < a < 10 and r["area"] / n > 0.5,
-        "logo": lambda r, a, n: 1000 < n < 20_000 and 0.5 < a < 2 and r["area"] / n > 0.3,
-    }
-    return {k: [{n: r[n] for n in "xywh"} for r in found if test(r, r["w"] / r["h"], r["w"] * r["h"])] for k, test in kinds.items()}
-
-
-def white_background(g: np.ndarray, level: int = 240, calm: float = 150) -> np.ndarray:
-    """Bright pixels, and those of bright surroundings without structure, made white."""
-    a = g.astype(float)
-    mean = X.box(a, 15)
-    spread = X.box(a * a, 15) - mean**2
-    return np.where((g >= level) | ((spread < calm) & (g > 150)), 255, g).astype(np.uint8)
-
-
-def clean_background(g: np.ndarray, alpha: float = 0.3) -> np.ndarray:
-    """What shines through from the back taken out: the page set off against its blurred self."""
-    blur = X.box(g, 31)
-    return np.clip(np.rint(blur + (1 + alpha) * (g - blur)), 0, 255).astype(np.uint8)
-
-
 def text_region(page: np.ndarray, margin: int = 20) -> np.ndarray:
     """What is of interest: the text's box on a mostly white page, else the gray page with its colours kept where there are any."""
     g = X.gray(page)
@@ -355,6 +360,19 @@ def text_region(page: np.ndarray, margin: int = 20) -> np.ndarray:
     return g
 
 
+def marks(page: np.ndarray) -> list[dict]:
+    """Stamps and signatures among the coloured regions of a page: boxes with their type."""
+    if page.ndim == 2:
+        return []
+    return T.coloured_marks(page, np.any(list(ink_masks(page).values()), 0))
+
+
+def parts(page: np.ndarray, margin: int = 20) -> list[np.ndarray]:
+    """The pages of a scan, or, of a single one, what is of interest on it."""
+    found = split(page, margin)
+    return found if len(found) > 1 else [text_region(page, margin)]
+
+
 def looks_multipage(g: np.ndarray) -> bool:
     """More than a tenth of the rows hold next to no ink compared with the mean."""
     ink = (g < 200).mean(1)

@@ -27,6 +27,30 @@ def hsv(page: np.ndarray) -> np.ndarray:
     return np.stack([np.where(top == low, 0, np.rint(hue) % 180), np.rint(sat), top], -1).astype(np.uint8)
 
 
+def _linear(x: np.ndarray) -> np.ndarray:
+    return np.where(x > 0.04045, ((x + 0.055) / 1.055) ** 2.4, x / 12.92)
+
+
+# Linear RGB to XYZ for the D65 white, divided by that white.
+_XYZ = np.array([[0.412453, 0.357580, 0.180423], [0.212671, 0.715160, 0.072169], [0.019334, 0.119193, 0.950227]]) / np.array([[0.950456], [1.0], [1.088754]])
+
+
+def lab(page: np.ndarray) -> np.ndarray:
+    """Lightness 0 to 100, a and b."""
+    xyz = _linear(page[..., ::-1] / 255.0) @ _XYZ.T
+    f = np.where(xyz > 0.008856, np.cbrt(xyz), 7.787 * xyz + 16 / 116)
+    return np.stack([116 * f[..., 1] - 16, 500 * (f[..., 0] - f[..., 1]), 200 * (f[..., 1] - f[..., 2])], -1)
+
+
+def from_lab(lab: np.ndarray) -> np.ndarray:
+    y = (lab[..., 0] + 16) / 116
+    f = np.stack([y + lab[..., 1] / 500, y, y - lab[..., 2] / 200], -1)
+    rgb = np.where(f**3 > 0.008856, f**3, (f - 16 / 116) / 7.787) @ np.linalg.inv(_XYZ).T
+    rgb = np.clip(rgb, 0, None)
+    out = np.where(rgb > 0.0031308, 1.055 * rgb ** (1 / 2.4) - 0.055, 12.92 * rgb)
+    return np.clip(np.rint(out[..., ::-1] * 255), 0, 255).astype(np.uint8)
+
+
 def otsu(g: np.ndarray) -> int:
     """The threshold that separates the histogram best."""
     hist = np.bincount(g.ravel(), minlength=256).astype(float)
@@ -191,6 +215,45 @@ def regions(mask: np.ndarray) -> list[dict]:
     ]
 
 
+def hull(points: np.ndarray) -> np.ndarray:
+    """The corners (x, y) of the convex hull, counter-clockwise; of points on one line, the ends."""
+    p = np.unique(points, axis=0)
+    if len(p) < 3:
+        return p.astype(float)
+    # Of each column only the outermost points can be corners.
+    first = np.unique(p[:, 0], return_index=True)[1]
+    p = np.unique(np.concatenate([p[first], p[np.append(first[1:], len(p)) - 1]]), axis=0).tolist()
+
+    def half(points: list) -> list:
+        out: list = []
+        for x, y in points:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (y - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (x - out[-2][0]):
+                out.pop()
+            out.append((x, y))
+        return out[:-1]
+
+    return np.array(half(p) + half(p[::-1]), float)
+
+
+def hull_area(points: np.ndarray) -> float:
+    """Of pixels, each counted with its whole square."""
+    corners = np.concatenate([points + d for d in ((0, 0), (0, 1), (1, 0), (1, 1))])
+    x, y = hull(corners).T
+    return float(abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2)
+
+
+def least_box_angle(points: np.ndarray) -> float:
+    """The angle in degrees, from -45 up to 45, at which the box around the points is smallest: one of its sides lies along the hull."""
+    h = hull(points)
+    if len(h) < 2:
+        return 0.0
+    sides = np.roll(h, -1, 0) - h
+    t = np.arctan2(sides[:, 1], sides[:, 0])
+    u, v = np.outer(np.cos(t), h[:, 0]) + np.outer(np.sin(t), h[:, 1]), np.outer(-np.sin(t), h[:, 0]) + np.outer(np.cos(t), h[:, 1])
+    best = int(np.argmin(np.ptp(u, axis=1) * np.ptp(v, axis=1)))
+    return float((np.rad2deg(t[best]) + 45) % 90 - 45)
+
+
 def resize(page: np.ndarray, height: int, width: int, method: str = "linear") -> np.ndarray:
     """Half-pixel-centred resampling: area, linear, cubic or lanczos. Separable: one matrix for each axis."""
     a = page.astype(F32)
@@ -250,7 +313,7 @@ def rotate(page: np.ndarray, degrees: float, *, expand: bool = True, fill: int =
 
 
 def hough_angles(edges: np.ndarray, *, least: int, reach: float = 15, step: float = 0.5) -> tuple[float, int]:
-    """(angle, number of lines) of nearly horizontal lines: the mean of the angles whose strongest line has ``least`` edge pixels."""
+    """(angle, number of lines) of nearly horizontal lines: the mean of the angles of lines of ``least`` edge pixels, flat ones weighing more."""
     ys, xs = np.nonzero(edges)
     if not len(ys):
         return 0.0, 0
@@ -260,8 +323,8 @@ def hough_angles(edges: np.ndarray, *, least: int, reach: float = 15, step: floa
     rho -= rho.min()
     votes = np.stack([np.bincount(rho[:, i], minlength=rho.max() + 1) for i in range(len(t))])
     lines = (votes >= least).sum(1)
-    n = int(lines.sum())
-    return (float((angles * lines).sum() / n) if n else 0.0), n
+    n, weight = int(lines.sum()), lines / (1 + np.abs(angles))
+    return (float((angles * weight).sum() / weight.sum()) if n else 0.0), n
 
 
 def dct_matrix(n: int) -> np.ndarray:
@@ -327,19 +390,32 @@ def bilateral(g: np.ndarray, size: int = 9, sigma_value: float = 75, sigma_space
 
 
 def nonlocal_means(g: np.ndarray, strength: float = 10, patch: int = 7, search: int = 21) -> np.ndarray:
-    """Means over a search window, weighted by the likeness of patches; patch distances are box means of squared differences."""
-    r = search // 2
-    a = g.astype(F32)
-    p = np.pad(a, r, mode="reflect" if min(g.shape) > r else "edge")
-    h, w = g.shape
-    total, weight = np.zeros((h, w)), np.zeros((h, w))
-    for dy in range(-r, r + 1):
-        for dx in range(-r, r + 1):
-            b = p[r + dy : r + dy + h, r + dx : r + dx + w]
-            k = np.exp(-box((a - b) ** 2, patch) / strength**2)
-            total += k * b
-            weight += k
-    return np.rint(total / weight).astype(np.uint8)
+    """Means over a search window, weighted by the likeness of patches; patch distances are box means of squared differences. A shift and its opposite share them."""
+    r, h, w = search // 2, *g.shape
+    a = np.pad(g.astype(F32), r, mode="reflect" if min(g.shape) > r else "edge")
+    total, weight = a.copy(), np.ones_like(a)
+    H, W = a.shape
+    for dy in range(r + 1):
+        for dx in range(-r if dy else 1, r + 1):
+            here = np.s_[: H - dy, max(0, -dx) : W - max(0, dx)]
+            there = np.s_[dy:, max(0, dx) : W - max(0, -dx)]
+            x, y = a[here], a[there]
+            k = np.exp(-_box32((x - y) ** 2, patch) / F32(strength**2))
+            total[here] += k * y
+            weight[here] += k
+            total[there] += k * x
+            weight[there] += k
+    return np.rint((total / weight)[r : r + h, r : r + w]).astype(np.uint8)
+
+
+def _box32(a: np.ndarray, size: int) -> np.ndarray:
+    """``box`` with edges repeated, in single precision: sums of sums, row by row, so that they stay small."""
+    r = size // 2
+    for axis in (0, 1):
+        p = np.pad(a, [(r + 1, r) if i == axis else (0, 0) for i in (0, 1)], mode="edge")
+        s = np.cumsum(p, axis=axis, dtype=np.float64)
+        a = ((s[size:] - s[:-size]) if axis == 0 else (s[:, size:] - s[:, :-size])).astype(F32) / F32(size)
+    return a
 
 
 def fill_holes(g: np.ndarray, mask: np.ndarray, rounds: int = 60) -> np.ndarray:

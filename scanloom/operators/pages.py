@@ -22,7 +22,8 @@ from scanloom.kernels import raster as X
 IMAGE = "origin string, height int, width int, nChannels int, mode int, data binary"
 MEASURES = (
     "width int, height int, brightness double, contrast double, sharpness double, edge_density double, text_share double, white_share double, text_density double, noise double, gradient double, "
-    "margin_left int, margin_right int, margin_top int, margin_bottom int, left long, right long, top long, bottom long, grid array<double>, columns int, "
+    "margin_left int, margin_right int, margin_top int, margin_bottom int, left long, right long, top long, bottom long, grid array<double>, columns int, multipage boolean, orientation_confidence double, "
+    "features struct<small:int,medium:int,large:int,complexity:double,form_fields:int,signatures:int,barcodes:int,logos:int,stamps:int,table_score:double,special:array<string>,layout:array<string>>, marks array<struct<x:int,y:int,w:int,h:int,type:string>>, "
     "votes array<int>, projection double, hough double, hough_confidence int, text double, text_confidence int, box array<int>, pages array<struct<x_start:int,x_end:int>>, phash long, page_hash string, "
     "colour_regions array<struct<type:string,ink:string,x:int,y:int,w:int,h:int,area:double,circularity:double,aspect_ratio:double,solidity:double>>"
 )
@@ -32,7 +33,11 @@ def to_array(image) -> np.ndarray | None:
     """The pixels of an image struct: (h, w) or (h, w, 3); None if it holds none."""
     if image is None or image["data"] is None:
         return None
-    h, w, n = image["height"], image["width"], image["nChannels"]
+    sides = (image["height"], image["width"], image["nChannels"])
+    # A batch with null images has its integers as floats.
+    if any(x is None or x != x for x in sides):
+        return None
+    h, w, n = map(int, sides)
     raw = np.frombuffer(image["data"], np.uint8)
     if h <= 0 or w <= 0 or n not in (1, 3, 4) or raw.size != h * w * n:
         return None
@@ -46,29 +51,51 @@ def to_image(page: np.ndarray, origin: str | None = None) -> dict:
 
 
 def all_measures(page: np.ndarray) -> dict:
-    import hashlib
-
     h = X.phash(page)
     found = P.measures(page) | P.skew_estimates(page)
-    normal = P.shrink(X.gray(page), 1024)
     return found | {
         "votes": P.orientation_votes(page), "box": list(P.content_box(page)), "pages": [{"x_start": a, "x_end": b} for a, b in P.page_bounds(page)],
-        "phash": h - (1 << 64) if h >> 63 else h, "page_hash": hashlib.sha256(repr(normal.shape).encode() + normal.tobytes()).hexdigest(), "colour_regions": P.colour_regions(page),
+        "phash": h - (1 << 64) if h >> 63 else h, "page_hash": page_digest(page), "colour_regions": P.colour_regions(page), "marks": P.marks(page),
     }
 
 
-def measure(df: DataFrame, image: str = "image") -> DataFrame:
-    """``df`` without its image and with the struct ``measures``."""
-    keep = [c for c in df.columns if c != image]
+def derived(df: DataFrame, image: str, columns: str, compute: Callable[[np.ndarray], tuple], *, keep_image: bool = False) -> DataFrame:
+    """``df`` with ``columns`` (DDL) computed from the pages in one pass, null for unreadable ones; without the image unless it is to stay."""
+    keep = [f for f in df.schema if f.name != image or keep_image]
+    names = [x.split(" ", 1)[0] for x in _fields(columns)]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            pages = [to_array(x) for x in frame.pop(image)]
-            frame["measures"] = [None if p is None else all_measures(p) for p in pages]
+            pages = [to_array(x) for x in frame[image]]
+            found = [(None,) * len(names) if p is None else compute(p) for p in pages]
+            if not keep_image:
+                frame = frame.drop(columns=[image])
+            for i, n in enumerate(names):
+                frame[n] = [x[i] for x in found]
             yield frame
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in keep)
-    return df.mapInPandas(run, f"{kept}, measures struct<{', '.join(':'.join(x.split(' ', 1)) for x in _fields(MEASURES))}>")
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in keep)
+    return df.select(*[f.name for f in keep], *([] if keep_image else [image])).mapInPandas(run, kept + columns)
+
+
+def measure(df: DataFrame, image: str = "image", *, keep_image: bool = False) -> DataFrame:
+    """``df`` with the struct ``measures``, without its image unless it is to stay."""
+    struct = f"measures struct<{', '.join(':'.join(x.split(' ', 1)) for x in _fields(MEASURES))}>"
+    return derived(df, image, struct, lambda p: (all_measures(p),), keep_image=keep_image)
+
+
+def blankness(df: DataFrame, image: str = "image", *, keep_image: bool = False) -> DataFrame:
+    """``df`` with ``is_blank``, by the two measures that this takes; null for unreadable pages."""
+    found = derived(df, image, "_density double, _white double", lambda p: (P.blank_density(X.gray(p)), float((X.gray(p) > 245).mean())), keep_image=keep_image)
+    return found.withColumn("is_blank", F.when(F.col("_density").isNotNull(), R.is_blank(F.col("_density"), F.col("_white")))).drop("_density", "_white")
+
+
+def page_digest(page: np.ndarray) -> str:
+    """SHA-256 of the page as gray pixels, 1024 at most on the longer side."""
+    import hashlib
+
+    normal = P.shrink(X.gray(page), 1024)
+    return hashlib.sha256(repr(normal.shape).encode() + normal.tobytes()).hexdigest()
 
 
 def _fields(schema: str) -> list[str]:
@@ -102,11 +129,7 @@ def decide(measured: DataFrame) -> DataFrame:
 
 
 def _level(page: np.ndarray) -> np.ndarray:
-    e = P.skew_estimates(page)
-    proj, hough, text = e["projection"], e["hough"], e["text"]
-    if abs(proj) > 3 and (abs(hough - proj) < 2 or abs(text - proj) < 2):
-        return P.deskew(page, proj)
-    return P.deskew(page, hough if e["hough_confidence"] > 5 and abs(hough) > 3 else text if e["text_confidence"] > 3 and abs(text) > 3 else 0.0)
+    return P.deskew(page, P.skew_decision(P.skew_estimates(page)))
 
 
 def _upright(page: np.ndarray) -> np.ndarray:
@@ -153,19 +176,22 @@ def correct(df: DataFrame, tasks: tuple[str, ...] | list[str], image: str = "ima
     return df.select(*[f.name for f in keep], image).mapInPandas(run, schema)
 
 
-def segment(df: DataFrame, image: str = "image", margin: int = 20) -> DataFrame:
-    """One row a page found on a scan, with ``part`` and its image; unreadable scans give none."""
+def segment(df: DataFrame, image: str = "image", margin: int = 20, *, keep_unreadable: bool = False) -> DataFrame:
+    """One row a page found on a scan, with ``part`` (of ``parts``) and its image, of a single page what is of interest on it; unreadable scans give none, or themselves."""
     keep = [f for f in df.schema if f.name != image]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for _, row in frame.iterrows():
                 page = to_array(row[image])
-                for i, part in enumerate(P.split(page, margin) if page is not None else []):
-                    yield pd.DataFrame([{**{f.name: row[f.name] for f in keep}, image: to_image(part, row[image]["origin"]), "part": i}])
+                if page is None and keep_unreadable:
+                    yield pd.DataFrame([{**{f.name: row[f.name] for f in keep}, image: row[image], "part": 0, "parts": 1}])
+                found = P.parts(page, margin) if page is not None else []
+                for i, part in enumerate(found):
+                    yield pd.DataFrame([{**{f.name: row[f.name] for f in keep}, image: to_image(part, row[image]["origin"]), "part": i, "parts": len(found)}])
 
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in keep)
-    schema = f"{kept}`{image}` struct<{', '.join(':'.join(x.split(' ', 1)) for x in IMAGE.split(', '))}>, part int"
+    schema = f"{kept}`{image}` struct<{', '.join(':'.join(x.split(' ', 1)) for x in IMAGE.split(', '))}>, part int, parts int"
     return df.select(*[f.name for f in keep], image).mapInPandas(run, schema)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanloom.operators import pages as P
+from scanloom.plans import pipeline
 from scanloom.streaming.state import sessions
 from scanloom.tables import table
 
@@ -41,8 +42,28 @@ def page_corrections(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_segments(spark: SparkSession, d: str) -> DataFrame:
-    parts = P.segment(_pages(spark, d).select("s_suppkey", "image"))
-    return parts.select("s_suppkey", "part", F.col("image.width").alias("width"))
+    """The parts of every scan, and whether those of double ones are about half as wide as it."""
+    scans = _pages(spark, d)
+    parts = P.segment(scans.select("s_suppkey", F.when(F.col("planted_blank"), 1).otherwise(F.col("planted_pages")).alias("planted_pages"), F.col("image.width").alias("whole"), "image"))
+    return parts.select("s_suppkey", "part", ((F.col("planted_pages") == 1) | F.col("image.width").between(F.col("whole") * 0.35, F.col("whole") * 0.6)).alias("as_planted"))
+
+
+def page_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """All twelve tasks on every page (sized to A4 at 36 dpi, about what the synthetic ones have), some also sent in again: one row a page, part and task with its status."""
+    keys = table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("page")).repartition(8)
+    scans = P.synthetic_pages(keys, "page").select("page", "image")
+    again = scans.where("page % 20 = 1").withColumn("page", F.col("page") + 1_000_000)
+    texts = F.concat(F.lit("the page number "), F.col("page").cast("string"))
+    done = pipeline.run(scans.unionByName(again).withColumn("text", texts), "full_pipeline", "page", text="text", dpi=36)
+    return pipeline.log(done, "page")
+
+
+def page_flags(spark: SparkSession, d: str) -> DataFrame:
+    """Flags and advice for the outputs, and what overall quality they make."""
+    done = pipeline.run(_pages(spark, d).select("s_suppkey", "image"), ["metadata"], "s_suppkey")
+    return done.where("metadata IS NOT NULL").select("s_suppkey", "metadata.flags", "metadata.advice", "metadata.overall").select(
+        "s_suppkey", F.array_join("flags", ",").alias("flags"), (F.size("advice") == F.size("flags")).alias("advised"), "overall"
+    )
 
 
 def event_sessions(spark: SparkSession, d: str) -> DataFrame:
@@ -50,9 +71,19 @@ def event_sessions(spark: SparkSession, d: str) -> DataFrame:
     return found.select("user_id", F.col("begin").cast("timestamp_ntz").alias("session_begin"), "n", F.round("total", 4).alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (page_decisions, page_recovery, page_corrections, page_segments, event_sessions)}
+QUERIES = {f.__name__: f for f in (page_decisions, page_recovery, page_corrections, page_segments, page_pipeline, page_flags, event_sessions)}
+
+_SCANS = "(SELECT s_suppkey, s_suppkey % 10 = 9 AS blank, s_suppkey % 7 = 0 AS double FROM supplier)"
+_TASKS = "dedup orientation skew crop sizing denoise contrast color segment language metadata export".split()
 
+# What was planted must be found: skews within half a degree, double pages in two parts, blank ones told apart.
 SQL = {
+    "page_recovery": f"""SELECT count(*) AS page_total, count(*) AS blank_right, count_if(NOT blank) AS skew_right, count_if(NOT blank) AS with_ink,
+  count_if(double AND NOT blank) AS split_right, count_if(double AND NOT blank) AS double_total FROM {_SCANS}""",
+    "page_segments": f"SELECT s_suppkey, unnest(range(CASE WHEN double AND NOT blank THEN 2 ELSE 1 END))::INT AS part, true AS as_planted FROM {_SCANS}",
+    "page_pipeline": f"""WITH s AS (SELECT n_nationkey::BIGINT AS page, n_nationkey % 10 = 9 AS blank, n_nationkey % 7 = 0 AS double FROM nation),
+  p AS (SELECT *, false AS again FROM s UNION ALL SELECT page + 1000000, blank, double, true FROM s WHERE page % 20 = 1), t AS (SELECT unnest({_TASKS}) AS task)
+  SELECT page, unnest(range(CASE WHEN double AND NOT blank AND NOT again THEN 2 ELSE 1 END))::INT AS part, task, CASE WHEN blank OR (again AND task <> 'dedup') THEN 'skipped' ELSE 'completed' END AS status FROM p, t""",
     "event_sessions": """
 WITH g AS (SELECT user_id, ts, value, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)

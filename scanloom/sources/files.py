@@ -53,6 +53,23 @@ def expand_pdfs(files: DataFrame, rasterise) -> DataFrame:
     return files.where("kind = 'pdf'").select("path", "content").mapInPandas(run, "path string, page_number int, content binary")
 
 
+def pdf_images(files: DataFrame, rasterise) -> DataFrame:
+    """One row a PDF page: path (with '#' and its number) and image. ``rasterise(bytes)`` yields the pages as BGR arrays; a PDF that it cannot read gives one row without pixels."""
+    from scanloom.operators.pages import IMAGE, to_image
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path, content in zip(frame["path"], frame["content"]):
+                try:
+                    for i, page in enumerate(rasterise(bytes(content)), 1):
+                        yield pd.DataFrame([{"path": f"{path}#{i}", "image": to_image(page, path)}])
+                except Exception as broken:  # the caller's library may raise anything
+                    yield pd.DataFrame([{"path": path, "image": {"origin": f"{path}: {broken}", "height": -1, "width": -1, "nChannels": -1, "mode": -1, "data": b""}}])
+
+    struct = ", ".join(":".join(x.split(" ", 1)) for x in IMAGE.split(", "))
+    return files.where("kind = 'pdf'").select("path", "content").mapInPandas(run, f"path string, image struct<{struct}>")
+
+
 def new_files(files: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(todo, skipped): files (with content) whose SHA-256 is not, or is, in the index (page_hash)."""
     hashed = files.withColumn("page_hash", F.sha2("content", 256))
@@ -74,21 +91,49 @@ def encode_png(page: np.ndarray, level: int = 6) -> bytes:
 
 
 def encode_tiff(page: np.ndarray, dpi: int = 250) -> bytes:
-    """An uncompressed TIFF of a gray or BGR page."""
+    """A TIFF of a gray or BGR page, deflated."""
     rows = np.ascontiguousarray(page[..., None] if page.ndim == 2 else page[..., ::-1])
     h, w, n = rows.shape
-    tags = [(256, 4, 1, w), (257, 4, 1, h), (258, 3, 1, 8), (259, 3, 1, 1), (262, 3, 1, 1 if n == 1 else 2), (277, 3, 1, n), (278, 4, 1, h), (279, 4, 1, rows.size), (296, 3, 1, 2)]
+    data = zlib.compress(rows.tobytes(), 6)
+    tags = [(256, 4, 1, w), (257, 4, 1, h), (258, 3, 1, 8), (259, 3, 1, 8), (262, 3, 1, 1 if n == 1 else 2), (277, 3, 1, n), (278, 4, 1, h), (279, 4, 1, len(data)), (296, 3, 1, 2)]
     extra = 8 + 2 + 12 * (len(tags) + 3) + 4
-    tags += [(273, 4, 1, extra + 8), (282, 5, 1, extra), (283, 5, 1, extra)]
+    # Behind the tags: the resolution, the bits of three channels, the pixels.
+    tags = [(t, k, n, extra + 8) if t == 258 and n == 3 else (t, k, c, v) for t, k, c, v in tags]
+    tags += [(273, 4, 1, extra + 14), (282, 5, 1, extra), (283, 5, 1, extra)]
     body = struct.pack("<2sHIH", b"II", 42, 8, len(tags)) + b"".join(struct.pack("<HHII", *t) for t in sorted(tags)) + struct.pack("<I", 0)
-    return body + struct.pack("<II", dpi, 1) + rows.tobytes()
+    return body + struct.pack("<IIHHH", dpi, 1, 8, 8, 8) + data
+
+
+def encode_pdf(page: np.ndarray, title: str = "", *, width: float = 612.0, height: float = 792.0, share: float = 0.9) -> bytes:
+    """A PDF of one letter page with the image on it, scaled to the share of the page and centred; pixels are deflated, not lossy."""
+    rows = np.ascontiguousarray(page[..., None] if page.ndim == 2 else page[..., ::-1])
+    h, w, n = rows.shape
+    k = min(width / w, height / h) * share
+    draw = f"q {w * k:.4f} 0 0 {h * k:.4f} {(width - w * k) / 2:.4f} {(height - h * k) / 2:.4f} cm /I Do Q".encode()
+    text = "".join(f"\\{c}" if c in "()\\" else c for c in title).encode("latin-1", "replace")
+    pixels = zlib.compress(rows.tobytes(), 6)
+    stream = lambda head, data: b"<< " + head + b" /Length " + str(len(data)).encode() + b" >>\nstream\n" + data + b"\nendstream"
+    objects = [
+        b"<< /Type /Catalog /Pages 2 0 R >>",
+        b"<< /Type /Pages /Kids [3 0 R] /Count 1 >>",
+        f"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 {width:g} {height:g}] /Resources << /XObject << /I 4 0 R >> >> /Contents 5 0 R >>".encode(),
+        stream(f"/Type /XObject /Subtype /Image /Width {w} /Height {h} /ColorSpace /{'DeviceGray' if n == 1 else 'DeviceRGB'} /BitsPerComponent 8 /Filter /FlateDecode".encode(), pixels),
+        stream(b"", draw),
+        b"<< /Title (" + text + b") /Creator (scanloom) /Producer (scanloom) >>",
+    ]
+    out, at = b"%PDF-1.4\n", []
+    for i, body in enumerate(objects, 1):
+        at.append(len(out))
+        out += f"{i} 0 obj\n".encode() + body + b"\nendobj\n"
+    table = b"".join(f"{p:010d} 00000 n \n".encode() for p in at)
+    return out + f"xref\n0 {len(at) + 1}\n0000000000 65535 f \n".encode() + table + f"trailer\n<< /Size {len(at) + 1} /Root 1 0 R /Info 6 0 R >>\nstartxref\n{len(out)}\n%%EOF\n".encode()
 
 
 def encode(df: DataFrame, image: str = "image", *, form: str = "png") -> DataFrame:
     """``df`` with ``content``, its images encoded, in place of the pixels."""
     from scanloom.operators.pages import to_array
 
-    writer = {"png": encode_png, "tiff": encode_tiff}[form]
+    writer = {"png": encode_png, "tiff": encode_tiff, "pdf": encode_pdf}[form]
     keep = [f for f in df.schema if f.name != image]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

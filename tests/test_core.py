@@ -1,7 +1,9 @@
 """Catalogue, rules, planner, page operators, sources and streams."""
 
+import zlib
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -228,7 +230,7 @@ def test_tiff_header(tmp_path):
     data = files.encode_tiff(np.arange(12, dtype=np.uint8).reshape(3, 4))
     count = struct.unpack("<H", data[8:10])[0]
     tags = {t[0]: t[3] for t in (struct.unpack("<HHII", data[10 + 12 * i : 22 + 12 * i]) for i in range(count))}
-    assert tags[256] == 4 and tags[257] == 3 and data[tags[273] :] == bytes(range(12))
+    assert tags[256] == 4 and tags[257] == 3 and tags[259] == 8 and zlib.decompress(data[tags[273] : tags[273] + tags[279]]) == bytes(range(12))
 
 
 # ---- streams
@@ -318,12 +320,57 @@ def test_command_line(spark, tmp_path):
     files.write_files(files.encode(made).select(F.concat(F.lit("p"), "id", F.lit(".png")).alias("name"), "content"), inside).collect()
     o = cli.options(["--mode", "orient_skew_crop", "--input", inside, "--output", out])
     written = cli.run(spark, o).collect()
-    assert sorted(r.path.split("/")[-1] for r in written) == ["p1_result.png", "p2_result.png"]
+    assert sorted((r.state, r.name) for r in written if r.file) == [("ready", "p1_result.png"), ("ready", "p2_result.png")]
+    assert [(r.state, r.file) for r in written if not r.file] == [("blank", None)]
+    assert all(set(r.outcome) == {"orientation", "skew", "crop"} for r in written)
+    assert sorted(x.name for x in (tmp_path / "out" / "comparisons").glob("*.png")) == ["p1_comparison.png", "p2_comparison.png"]
+    # Every task of the mode runs; what nothing can read is a failed row.
+    (tmp_path / "in" / "x.pdf").write_bytes(b"This is a test PDF content")
+    (tmp_path / "in" / "broken.png").write_bytes(b"no image")
+    o = cli.options(["--mode", "full_pipeline", "--input", inside, "--output", str(tmp_path / "all"), "--form", "pdf", "--no-comparisons", "--workers", "2", "--dpi", "30"])
+    done = {r.path.split("/")[-1]: r for r in cli.run(spark, o).collect()}
+    assert set(done["p1.png"].outcome.values()) == {"completed", "skipped"} and len(done["p1.png"].outcome) == 12 and done["p1.png"].name == "p1_result.pdf"
+    assert done["x.pdf"].state == done["broken.png"].state == "failed" and set(done["broken.png"].outcome.values()) == {"failed"}
+    (tmp_path / "in" / "x.pdf").unlink()
+    (tmp_path / "in" / "broken.png").unlink()
     files.list_files(spark, inside, content=True).limit(3).select(F.sha2("content", 256).alias("page_hash")).write.parquet(str(tmp_path / "index"))
     o = cli.options(["--mode", "orient_only", "--input", inside, "--output", out, "--index", str(tmp_path / "index")])
     assert cli.run(spark, o).count() == 0
 
 
+def test_pipeline_states(spark):
+    from scanloom.plans import pipeline
+
+    scans = P.synthetic_pages(spark.createDataFrame([(1,), (7,), (9,)], "id long"), "id", 120, 160).select("id", "image")
+    none = scans.where("id = 1").select(F.lit(5).cast("long").alias("id"), F.lit(None).cast(scans.schema["image"].dataType).alias("image"))
+    again = scans.where("id = 1").withColumn("id", F.lit(3).cast("long"))
+    done = pipeline.run(scans.unionByName(none).unionByName(again), ["dedup", "contrast", "segment"], "id")
+    assert rows(done, "id", "part", "state", "master") == [(1, 0, "ready", 1), (3, 0, "duplicate", 1), (5, 0, "failed", 5), (7, 0, "ready", 7), (7, 1, "ready", 7), (9, 0, "blank", 9)]
+    assert {r.id: set(r.outcome.values()) for r in done.collect()} == {1: {"completed"}, 3: {"completed", "skipped"}, 5: {"failed"}, 7: {"completed"}, 9: {"skipped"}}
+    bare = modes.Registry()
+    with pytest.raises(ValueError):
+        pipeline.run(scans, "orient_only", "id", given=bare)
+    with pytest.raises(ValueError):
+        pipeline.run(scans, "crop_only", "id")
+    assert pipeline.run(scans.limit(0), "full_pipeline", "id", dpi=30).count() == 0
+
+
+def test_pdf_of_a_page():
+    page = np.zeros((20, 10, 3), np.uint8)
+    made = files.encode_pdf(page, "a (b)")
+    assert made.startswith(b"%PDF-1.4") and b"/MediaBox [0 0 612 792]" in made and rb"/Title (a \(b\))" in made
+    start = int(made.rsplit(b"startxref\n", 1)[1].split(b"\n")[0])
+    assert made[start:].startswith(b"xref") and made[int(made[start:].split(b"\n")[3].split()[0]) :].startswith(b"1 0 obj")
+
+
+def test_flags(spark):
+    from scanloom.functions import rules as R
+
+    df = spark.createDataFrame([(True, 10.0, 50.0, 0.5, 3.0), (False, 90.0, 500.0, 0.9, -1.0)], "m boolean, c double, s double, o double, k double")
+    got = df.select(R.output_flags(*map(F.col, "mcsok")).alias("f")).select("f", R.recommendations(F.col("f")).alias("a"), R.overall_quality(F.col("f")).alias("q")).collect()
+    assert [len(r.f) for r in got] == [5, 0] and [r.q for r in got] == ["poor", "excellent"] and len(got[0].a) == 5 and all(got[0].a)
+
+
 def test_new_rows(spark):
     df = spark.createDataFrame([("A.PDF", "/in/A.PDF", 5)], "filename string, original_path string, file_size long")
     got = C.new_documents(df, datetime(2024, 1, 1)).first()

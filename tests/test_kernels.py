@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 
 from scanloom.kernels import page as P
+from scanloom.kernels import enhance as E
+from scanloom.kernels import features as T
 from scanloom.kernels import raster as X
 from scanloom.sources.files import encode_png
 
@@ -163,7 +165,7 @@ def test_regions_of_interest(text_page):
     assert P.text_region(np.full((40, 40), 90, np.uint8)).shape == (40, 40)
     assert P.text_region(np.full((40, 40), 255, np.uint8)).shape == (40, 40)
     assert max(P.thumbnail(text_page).shape) == 200
-    assert set(P.ink_boxes(text_page)) == {"form_field", "signature", "barcode", "logo"}
+    assert set(P.ink_boxes(text_page)) == {"form_field", "signature", "barcode", "logo", "stamp"}
 
 
 def test_backgrounds(text_page):
@@ -177,3 +179,107 @@ def test_backgrounds(text_page):
 def test_comparison(text_page):
     both = P.comparison(text_page, text_page[:100])
     assert both.shape == (560, 810, 3) and (both[:, :400, 0] == text_page).all() and (both[100:, 410:] == 255).all()
+
+
+def test_hull_and_least_box():
+    yy, xx = np.mgrid[:60, :200]
+    for angle in (-20, -5, 0, 7, 30):
+        t = np.deg2rad(angle)
+        u, v = (xx - 100) * np.cos(t) + (yy - 30) * np.sin(t), -(xx - 100) * np.sin(t) + (yy - 30) * np.cos(t)
+        ys, xs = np.nonzero((np.abs(u) < 25) & (np.abs(v) < 4))
+        points = np.stack([xs, ys], 1)
+        assert abs(X.least_box_angle(points) - angle) < 3
+        assert 0.8 < 50 * 8 / X.hull_area(points) < 1.25
+    assert X.hull_area(np.array([[3, 4]])) == 1 and X.least_box_angle(np.array([[1, 1]])) == 0.0
+
+
+def test_lab_goes_back():
+    page = np.random.default_rng(3).integers(0, 256, (20, 20, 3)).astype(np.uint8)
+    assert np.abs(X.from_lab(X.lab(page)).astype(int) - page).max() <= 1
+    white = X.lab(np.full((1, 1, 3), 255, np.uint8))[0, 0]
+    assert abs(white[0] - 100) < 0.1 and np.abs(white[1:]).max() < 0.1
+
+
+def test_scanner_edges_and_holes_go(text_page):
+    page = np.full((300, 300), 255, np.uint8)
+    page[:, 3] = 120
+    cleaned, n = E.scanner_edges(page)
+    assert n >= 300 and cleaned[:, 3].mean() > 250
+    same, n = E.scanner_edges(np.full((50, 50, 3), 255, np.uint8))
+    assert n == 0 and (same == 255).all()
+    colour = np.full((120, 120, 3), 255, np.uint8)
+    yy, xx = np.mgrid[:120, :120]
+    colour[(yy - 30) ** 2 + (xx - 30) ** 2 < 8**2] = 20
+    assert P.punch_holes(colour)[30, 30].min() > 150 and P.punch_holes(colour).shape == colour.shape
+
+
+def test_sharpening_keeps_flat_pages(text_page):
+    flat = np.full((40, 50), 90, np.uint8)
+    for kind in E.SHARPENERS:
+        assert (np.abs(E.sharpen(flat, kind)[2:-2, 2:-2].astype(int) - 90) <= (1 if kind not in ("dark_page", "bright_page") else 14)).all()
+    assert E.unsharp(flat).shape == flat.shape and (E.unsharp(flat) >= 89).all()
+    for mode in ("standard", "moderate", "white"):
+        assert E.for_recognition(text_page, mode).shape == text_page.shape
+    assert (E.for_recognition(text_page, "white") == text_page).all()
+    assert E.for_recognition(np.repeat(text_page[..., None], 3, -1), "moderate", clip=1.5).shape == (*text_page.shape, 3)
+    assert E.enlarge(text_page[:50, :40], 450, 360).shape == (450, 360)
+
+
+def test_bleeding(text_page):
+    assert not E.bleeds_through(np.full((80, 80), 255, np.uint8)) and E.bleeds_through(text_page)
+    assert E.without_bleeding(text_page).std() >= text_page.std() * 0.9
+
+
+def test_contrast_modes(text_page):
+    grayish = (text_page // 4 + 90).astype(np.uint8)
+    for mode in ("adaptive", "conservative", "white", "sharp", "moderate"):
+        assert P.enhance(grayish, mode=mode).shape == grayish.shape
+    assert P.enhance(text_page, mode="white", white=240)[text_page == 255].mean() > 250
+    assert (E.white_background(np.full((40, 40), 170, np.uint8), 240, 1.3) == 255).all()
+    assert E.gamma_for(E.Contrast(gamma=1.9), {"dark": True, "bright": False}) == 2.0 and E.gamma_for(E.Contrast(gamma=0.9), {"dark": False, "bright": True}) == 0.8
+
+
+def test_features(text_page):
+    page = np.full((400, 400), 255, np.uint8)
+    yy, xx = np.mgrid[:400, :400]
+    page[np.abs(np.hypot(yy - 200, xx - 150) - 45) < 3] = 40
+    found = T.circles(page)
+    assert len(found) == 1 and abs(found[0]["x"] + found[0]["w"] / 2 - 150) < 8 and abs(found[0]["w"] - 90) < 14
+    ruled = np.full((300, 300), 255, np.uint8)
+    ruled[20::20] = 0
+    assert T.table_score(ruled) > 30 and "ruled_lines" in T.special(ruled) and T.table_score(ruled, faithful=True) == 100.0
+    assert T.grid_labels([0.4, 0.2, 0.0]) == ["dense", "text", "whitespace"]
+    o = T.objects(text_page)
+    assert o["small"] + o["medium"] + o["large"] > 0 and 0 < o["complexity"] <= 60 and T.objects(np.full((9, 9), 255, np.uint8))["complexity"] <= 60
+    red, blue = np.zeros((10, 10, 3), np.uint8), np.zeros((10, 10, 3), np.uint8)
+    red[...], blue[...] = (30, 30, 220), (220, 60, 30)
+    assert T.mark_kind(red) == "stamp" and T.mark_kind(blue) == "signature"
+    marked = np.full((300, 300, 3), 255, np.uint8)
+    marked[50:90, 50:100] = (30, 30, 220)
+    assert [m["type"] for m in P.marks(marked)] == ["stamp"] and P.marks(text_page) == []
+
+
+def test_one_skew_decision(text_page):
+    base = {"projection": 0.0, "hough": 0.0, "hough_confidence": 0, "text": 0.0, "text_confidence": 0}
+    assert P.skew_decision(base) == 0.0
+    assert P.skew_decision(base | {"projection": 5.0, "hough": 4.0}) == 5.0
+    assert P.skew_decision(base | {"hough": 4.0, "hough_confidence": 6}) == 4.0
+    assert P.skew_decision(base | {"text": -4.0, "text_confidence": 4}) == -4.0
+    assert abs(P.skew_decision(base | {"projection": 6.0, "hough": 1.0, "hough_confidence": 1}) - (18 + 2) / 5) < 1e-9
+
+
+def test_sizing_keeps_brightness(text_page):
+    for size in (1.5, 4.0, 7.0):
+        out = P.standard_size(text_page[:140, :100], short=int(100 * size), long=int(140 * size))
+        # The kernel for enlargements of more than six sums to 0.8.
+        assert abs(out.mean() - text_page[:140, :100].mean() * (0.8 if size > 6 else 1)) < 20
+
+
+def test_nonlocal_means_equals_definition():
+    a = np.random.default_rng(4).integers(0, 255, (24, 26)).astype(np.uint8)
+    got = X.nonlocal_means(a, 40, 3, 5)
+    p = np.pad(a.astype(float), 3, mode="reflect")
+    for y, x in ((12, 13), (8, 9), (15, 17)):
+        patch = lambda i, j: p[i + 2 : i + 5, j + 2 : j + 5]
+        k = {(dy, dx): np.exp(-((patch(y, x) - patch(y + dy, x + dx)) ** 2).mean() / 1600) for dy in range(-2, 3) for dx in range(-2, 3)}
+        assert abs(got[y, x] - sum(w * float(a[y + dy, x + dx]) for (dy, dx), w in k.items()) / sum(k.values())) <= 1
