@@ -4,8 +4,7 @@
 (in the order written), its parent's number, label (field name), ordinal (position in a
 list), kind and scalar; nodes that are a child object, and all scalars below one down to
 the next child, also name that child, its key and their path from there. ``children`` joins the object nodes with the
-scalars right below and pivots those that children have in common: both carry the same (row, child, key), so the join is one
-grouping, which removes repeated rows on the way. ``attributes`` is the table linked to it that has every scalar of every child.
+scalars whose parent they are and pivots those that children have in common. ``attributes`` is the table linked to it that has every scalar of every child.
 
 A path names fields and positions from the child down, joined by dots (``params.limits.low``, ``bbox.0``); it is empty for the
 child itself. Dots and backslashes in a field's name are written after a backslash.
@@ -200,14 +199,22 @@ def _pick(condition: Column) -> Column:
     return F.max(F.when(condition, F.col("scalar")))
 
 
+PIVOTED = ("name", "status", "seconds", "type", "confidence", "path", "x_start", "x_end")
+
+
 def children(nodes: DataFrame) -> DataFrame:
-    """One row a child object: parent_id, child, child_key, name, status, seconds, type, confidence, path, x_start, x_end."""
-    label, ordinal = F.col("label"), F.col("ordinal")
+    """One row a child object: parent_id, child, child_key, name, status, seconds, type, confidence, path, x_start, x_end.
+
+    A node of a child object and the scalars whose ``parent`` it is meet under its number; the scalars become columns. Both sides of this
+    join come from one table and are combined before the shuffle, so that it is a grouping by (row, column, number). A second one makes equal children one.
+    """
+    label, ordinal, head = F.col("label"), F.col("ordinal"), F.col("path") == ""
     own = F.col("kind").isin("string", "number", "boolean")
-    return (
+    joined = (
         nodes.where("child IS NOT NULL AND NOT contains(path, '.')")
-        .groupBy("parent_id", "child", "child_key")
+        .groupBy("parent_id", "source", F.when(head, F.col("node")).otherwise(F.col("parent")).alias("owner"))
         .agg(
+            F.max(F.when(head, F.struct("child", "child_key"))).alias("object"),
             _pick(own & ((label == "step") | (label.isNull() & (F.col("child") == "step")) | label.isin("task_id", "kind"))).alias("name"),
             _pick(label == "status").alias("status"),
             F.coalesce(_pick(label == "seconds").cast("double"), _pick(label == "ms").cast("double") / 1000).alias("seconds"),
@@ -218,6 +225,8 @@ def children(nodes: DataFrame) -> DataFrame:
             _pick((F.col("child") == "boundary") & ((label == "x_end") | (label.isNull() & own & (ordinal == 1)))).cast("double").alias("x_end"),
         )
     )
+    found = joined.where("object IS NOT NULL").select("parent_id", "object.*", *PIVOTED)
+    return found.groupBy("parent_id", "child", "child_key").agg(*[F.max(c).alias(c) for c in PIVOTED])
 
 
 def attributes(nodes: DataFrame) -> DataFrame:
