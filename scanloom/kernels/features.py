@@ -39,15 +39,13 @@ def circles(g: np.ndarray, least: int = 20, most: int = 100) -> list[dict]:
     h, w = small.shape
     found: list[tuple[float, int, int, int]] = []
     for radius in range(max(4, int(least / f)), int(most / f) + 1, 2):
-        votes = np.zeros(h * w)
-        for sign in (-1, 1):
-            cy, cx = np.rint(ys + sign * radius * uy).astype(int), np.rint(xs + sign * radius * ux).astype(int)
-            inside = (cy >= 0) & (cy < h) & (cx >= 0) & (cx < w)
-            votes += np.bincount(cy[inside] * w + cx[inside], minlength=h * w)
-        # Where no window can hold enough votes, none is summed.
-        if votes.max() < 0.5 * 2 * np.pi * radius / 25 or min(h, w) <= 5:
+        cy, cx = (np.rint(np.concatenate([c + radius * u, c - radius * u])).astype(int) for c, u in ((ys, uy), (xs, ux)))
+        inside = (cy >= 0) & (cy < h) & (cx >= 0) & (cx < w)
+        cy, cx = cy[inside], cx[inside]
+        # A window of 5 by 5 lies in four cells of that size: where no cell has a quarter of the votes needed, no window has them all.
+        if min(h, w) <= 5 or np.bincount(cy // 5 * w + cx // 5, minlength=1).max() < 0.5 * 2 * np.pi * radius / 4:
             continue
-        near = X.box(votes.reshape(h, w), 5) * 25
+        near = X.box(np.bincount(cy * w + cx, minlength=h * w).reshape(h, w), 5) * 25
         at = int(near.argmax())
         # A round outline gives about a vote for each pixel of its circumference.
         if near.flat[at] > 0.5 * 2 * np.pi * radius:

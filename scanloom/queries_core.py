@@ -325,18 +325,35 @@ def language_scores(s, d):
     return t.select("doc_id", *[r6(F.col(f"score_{n}")).alias(n) for n in ("vie", "eng", "fra")])
 
 
-@query()
+_LINES = "replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+_MRZ_PATTERNS = tuple(p.strip("^$") for p in T.MRZ_LINES)
+_HAS_MRZ = " OR ".join(f"regexp_matches({_LINES}, '(?m)^{p}$')" for p in _MRZ_PATTERNS)
+_LANGUAGE = f"""SELECT doc_id, lang,
+    CASE WHEN length(text) = 0 THEN 'unknown' WHEN latin >= greatest(viet, num, mrz) THEN 'latin' WHEN viet >= greatest(num, mrz) THEN 'vietnamese' WHEN num >= mrz THEN 'numeric' ELSE 'mrz' END AS script,
+    CASE WHEN greatest(vie, eng, fra) IS NULL THEN 'eng' WHEN vie = greatest(vie, eng, fra) THEN 'vie' WHEN eng = greatest(vie, eng, fra) THEN 'eng' ELSE 'fra' END AS language
+  FROM (SELECT *, CASE WHEN v > 0 THEN least(95.0::DOUBLE, v / length(text) * 200) END AS vie, CASE WHEN n > 0 THEN least(90.0::DOUBLE, e / n * 100) END AS eng, CASE WHEN f > 0 AND n > 0 THEN least(85.0::DOUBLE, f / n * 100) END AS fra,
+      {_sql_count('[a-zA-Z]')} / length(text) AS latin, v / length(text) AS viet, {_sql_count('[0-9]')} / length(text) AS num, CASE WHEN {_HAS_MRZ} THEN 1.0::DOUBLE ELSE 0.0 END AS mrz
+    FROM (SELECT doc_id, lang, text, {_sql_count(_V)} AS v, len(w) AS n, len(list_filter(w, lambda x: x IN {tuple(T.ENGLISH_WORDS.split())})) AS e, len(list_filter(w, lambda x: x IN {tuple(T.FRENCH_WORDS.split())})) AS f
+      FROM (SELECT doc_id, lang, text, {_sql_words('text')} AS w FROM {_TEXT})))"""
+
+
+@query(f"SELECT doc_id, script, language FROM ({_LANGUAGE})")
 def dominant_language(s, d):
     return T.detect(table(s, d, "documents").where("text IS NOT NULL").select("doc_id", "text"), "text").select("doc_id", "script", "language")
 
 
-@query()
+@query(f"SELECT lower(lang) AS lang, language AS detected, count(*) AS document_count FROM ({_LANGUAGE}) GROUP BY ALL")
 def language_confusion(s, d):
     t = T.detect(table(s, d, "documents").where("text IS NOT NULL").select("lang", "text"), "text")
     return t.groupBy(F.lower("lang").alias("lang"), F.col("language").alias("detected")).agg(F.count("*").alias("document_count"))
 
 
-@query()
+_BLANKS = "[ \\t\\n\\x0b\\f\\r]"
+
+
+@query(f"""SELECT doc_id, round(CASE WHEN text IS NULL THEN NULL WHEN NOT regexp_matches(text, '[^ \\t\\n\\x0b\\f\\r]') THEN 0.0 ELSE least(95.0::DOUBLE, least(80.0::DOUBLE, length(regexp_replace(text, '^{_BLANKS}+|{_BLANKS}+$', '', 'g')) / 10)
+    + CASE WHEN variety > 10 THEN 15 WHEN variety > 5 THEN 10 ELSE 0 END + CASE WHEN coalesce(lower(lang) = 'vi', false) AND regexp_matches(text, '{_V}') THEN 20 ELSE 0 END) END, 6) AS confidence
+  FROM (SELECT *, len(list_distinct(regexp_extract_all(lower(text), '(?s).'))) AS variety FROM documents)""")
 def text_confidence(s, d):
     return table(s, d, "documents").select("doc_id", r6(T.ocr_confidence(F.col("text"), F.coalesce(F.lower("lang") == "vi", F.lit(False)))).alias("confidence"))
 
@@ -350,7 +367,10 @@ def special_zones(s, d):
     return t.select("doc_id", T.date_count(F.col("text")).cast("bigint").alias("date_count"), F.coalesce(T.numeric_heavy(F.col("text")), F.lit(False)).alias("numeric_heavy"))
 
 
-@query()
+_FITS = " + ".join(f"len(list_filter(lines, lambda x: regexp_full_match(x, '{p}')))" for p in _MRZ_PATTERNS)
+
+
+@query(f"SELECT doc_id, line_count FROM (SELECT doc_id, ({_FITS})::INT AS line_count FROM (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: trim(translate(x, chr(13) || chr(9), '  '))) AS lines FROM {_TEXT})) WHERE line_count > 0")
 def machine_readable(s, d):
     t = table(s, d, "documents").where("text IS NOT NULL").select("doc_id", F.size(T.mrz_lines(F.col("text"))).alias("line_count"))
     return t.where("line_count > 0")
