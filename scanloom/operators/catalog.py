@@ -82,12 +82,18 @@ def touch(entries: DataFrame, accesses: DataFrame, key: str) -> DataFrame:
 
 
 def cache_hits(requests: DataFrame, cache: DataFrame, *, ttl_hours: int = 24) -> DataFrame:
-    """Requests (key, at, and others) with ``hit``: an entry (key, created_at) of the key that is not yet expired. One row a request."""
-    alive = requests.alias("r").join(
-        cache.groupBy("key").agg(F.sort_array(F.collect_set("created_at")).alias("times")).alias("c"), "key", "left"
-    )
+    """Requests (key, at, and others) with ``hit``: an entry (key, created_at) of the key that is not yet expired. One row a request.
+
+    The last entry before a request decides: one union and one window, so that no key's entries are gathered. Requests without a key hit nothing.
+    """
+    entries = cache.where("key IS NOT NULL AND created_at IS NOT NULL").select("key", F.col("created_at").alias("at")).distinct()
+    given = requests.where("key IS NOT NULL")
+    both = given.withColumn("_entry", F.lit(False)).unionByName(entries.withColumn("_entry", F.lit(True)), allowMissingColumns=True)
+    w = Window.partitionBy("key").orderBy("at", "_entry").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.max(F.when(F.col("_entry"), F.col("at"))).over(w)
     oldest = F.col("at") - F.expr(f"INTERVAL {int(ttl_hours)} HOURS")
-    return alive.withColumn("hit", F.coalesce(F.exists("times", lambda t: (t < F.col("at")) & (t >= oldest)), F.lit(False))).drop("times")
+    found = both.withColumn("_last", last).where("NOT _entry").withColumn("hit", F.coalesce(F.col("_last") >= oldest, F.lit(False)))
+    return found.select(*requests.columns, "hit").unionByName(requests.where("key IS NULL").withColumn("hit", F.lit(False)))
 
 
 def status_now(log: DataFrame, key: str) -> DataFrame:
