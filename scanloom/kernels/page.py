@@ -36,7 +36,7 @@ def measures(page: np.ndarray) -> dict:
         "text_density": blank_density(g), "noise": float(np.abs(g - X.box(g, 5)).mean() / 255), "gradient": float(np.hypot(gx, gy).mean()),
         "margin_left": _margin(g.mean(0)), "margin_right": _margin(g.mean(0)[::-1]), "margin_top": _margin(g.mean(1)), "margin_bottom": _margin(g.mean(1)[::-1]),
         "left": int(dark[:, : w // 2].sum()), "right": int(dark[:, w // 2 :].sum()), "top": int(dark[: h // 2].sum()), "bottom": int(dark[h // 2 :].sum()),
-        "grid": grid, "columns": text_columns(g), "multipage": looks_multipage(g), "orientation_confidence": orientation_confidence(g), "features": T.page_features(page, grid),
+        "grid": grid, "columns": text_columns(g), "multipage": looks_multipage(g), "orientation_confidence": orientation_confidence(g), "features": T.page_features(page, grid), "residue": E.residue(page),
     }
 
 

@@ -23,7 +23,7 @@ IMAGE = "origin string, height int, width int, nChannels int, mode int, data bin
 MEASURES = (
     "width int, height int, brightness double, contrast double, sharpness double, edge_density double, text_share double, white_share double, text_density double, noise double, gradient double, "
     "margin_left int, margin_right int, margin_top int, margin_bottom int, left long, right long, top long, bottom long, grid array<double>, columns int, multipage boolean, orientation_confidence double, "
-    "features struct<small:int,medium:int,large:int,complexity:double,form_fields:int,signatures:int,barcodes:int,logos:int,stamps:int,table_score:double,special:array<string>,layout:array<string>>, marks array<struct<x:int,y:int,w:int,h:int,type:string>>, "
+    "features struct<small:int,medium:int,large:int,complexity:double,form_fields:int,signatures:int,barcodes:int,logos:int,stamps:int,table_score:double,special:array<string>,layout:array<string>>, marks array<struct<x:int,y:int,w:int,h:int,type:string>>, residue struct<dark:int,edges:int>, "
     "votes array<int>, projection double, hough double, hough_confidence int, text double, text_confidence int, box array<int>, pages array<struct<x_start:int,x_end:int>>, phash long, page_hash string, "
     "colour_regions array<struct<type:string,ink:string,x:int,y:int,w:int,h:int,area:double,circularity:double,aspect_ratio:double,solidity:double>>"
 )
