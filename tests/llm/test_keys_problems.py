@@ -1,12 +1,14 @@
 """Survivors, seen keys, components and batch repeats: edge cases, and results against plain Python."""
 
+from dataclasses import replace
 from datetime import datetime
 
+import duckdb
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from scanloom.llm import components, runs, seen_keys, segments, survivors
+from scanloom.llm import components, queries_keys, runs, seen_keys, segments, survivors
 from scanloom.operators import dedup
 
 
@@ -67,6 +69,64 @@ def test_dates_come_before_the_learned_precedence(spark):
     assert {n: got[groups[n]] for n in cases} == {10: ("new", 1), 11: ("duplicate", 1), 12: ("duplicate", 0), 13: ("duplicate", 1), 14: ("duplicate", 1), 15: ("new", 1), 16: ("pending", 2), 17: ("other", 0), 18: ("new", 1)}
 
 
+def test_p1_orders_constraints_and_what_it_learns(spark, tmp_path, monkeypatch):
+    t = lambda d: datetime(2024, 1, d)
+    # In most groups the smaller size, the earlier time and the larger dimensions come last.
+    data = [(10 * n + i, f"{n:016x}", size, t(first), t(seen), dims, "new") for n in range(3) for i, (size, first, seen, dims) in enumerate(((90, 9, 1, "1x1"), (10, 2, 2, "9x9")))]
+    data += [(101, G, 50, t(3), t(5), "5x5", "new"), (102, G, 70, t(8), t(4), "7x7", "new"), (103, G, 40, t(1), None, "4x4", "new"), (104, G, 60, t(4), None, "6x6", "new")]
+    data += [(201, H, 0, None, t(5), "unknown", "new"), (202, H, 7, t(2), None, None, "new"), (203, H, 7, t(2), None, "0x3", "new")]
+    spark.createDataFrame(data, HASHES).write.parquet(f"{tmp_path}/document_hashes.parquet")
+    known, directions = [], survivors.directions
+    monkeypatch.setattr(survivors, "directions", lambda *x: known.append([tuple(r) for r in x[1]]) or directions(*x))
+    got = lambda: {(g, f): i for g, f, i in rows(queries_keys.p1_found(spark, str(tmp_path)), "duplicate_group_id", "field_name", "id")}
+    bound = got()
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW document_hashes AS FROM '{tmp_path}/document_hashes.parquet/*.parquet'")
+        assert bound == {(g, f): i for g, f, i in db.sql(queries_keys.P1_SQL).fetchall()}
+    assert {f: bound[G, f] for f in ("file_size", "first_seen", "image_dimensions")} == {"file_size": 102, "first_seen": 103, "image_dimensions": 102}
+    assert known == [[("file_size", "worst", "best", 0, 4), ("first_seen", "worst", "best", 4, 0), ("image_dimensions", "worst", "best", 3, 1)]]
+    fields = [replace(f, constraint=False) for f in survivors.scan_fields()]
+    monkeypatch.setattr(survivors, "scan_fields", lambda: fields)
+    free = got()
+    # The latest dated record is 101; undated ones come after it if the learned direction goes from its value to theirs.
+    assert {f: free[G, f] for f in ("file_size", "first_seen", "image_dimensions")} == {"file_size": 103, "first_seen": 103, "image_dimensions": 104}
+    assert {f: i for (g, f), i in free.items() if g == H} == {"file_size": 202, "first_seen": 202}
+
+
+def test_constraints_outrank_what_is_learned():
+    larger, smaller = survivors.Ranked("a", None), survivors.Ranked("b", None, constraint=False)
+    evidence = [("a", "worst", "best", 3, 900), ("b", "worst", "best", 3, 900)]
+    assert survivors.directions([larger, smaller], evidence) == {"a": 1, "b": -1}
+    assert survivors.directions([smaller], [("b", "worst", "best", 5, 5)]) == survivors.directions([smaller]) == {"b": 0}
+
+
+def test_latest_is_the_end_of_the_partial_order(spark):
+    import random
+
+    random.seed(3)
+    data = [(i, i % 40, random.choice([None, 1, 2, 3, 4, 5]), random.choice([None, None, *range(1, 8)])) for i in range(1, 200)]
+    df = spark.createDataFrame(data, "id long, g int, v int, d int").withColumn("t", F.expr("timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, d)"))
+    for least in (False, True):
+        for constraint, later in ((True, 1), (False, 1), (False, -1), (False, 0)):
+            way = -later if least else later
+            expected = {}
+            for g in range(40):
+                mine = {v: [(d, i) for i, h, x, d in data if (h, x) == (g, v)] for v in range(1, 6)}
+                last = {v: max((d, -i) for d, i in seen if d) if any(d for d, _ in seen) else None for v, seen in mine.items() if seen}
+                first = {v: -last[v][1] if last[v] and not constraint else min(i for _, i in mine[v]) for v in last}
+                dated = sorted((v for v in last if last[v]), key=lambda v: (last[v][0], way * v, -first[v]))
+                order = {(a, b) for a in last for b in last if way * a < way * b and (constraint or not (last[a] or last[b]))}
+                if not constraint:
+                    order |= {*zip(dated, dated[1:], strict=False)}
+                    order |= {(dated[-1], u) if way * u > way * dated[-1] else (u, dated[-1]) for u in last if dated and not last[u]}
+                ends = [v for v in last if all(a != v for a, _ in order)]
+                assert len(ends) == 1 or not last or not (way or dated)
+                expected[g] = min((first[v] for v in ends), default=None)
+            field = survivors.Ranked("best", F.col("v"), least, constraint)
+            got = survivors.latest(df, F.col("g"), F.col("id"), [field], F.col("t"), {"best": later})
+            assert {r.group: r.best for r in got.collect()} == expected, (least, constraint, later)
+
+
 def test_precedence_is_learned(spark):
     data = [(g, v, datetime(2024, 1, d)) for g in range(4) for v, d in (("new", 1), ("pending", 2), ("duplicate", 3))] + [(9, "duplicate", datetime(2024, 1, 1)), (9, "new", datetime(2024, 1, 2)), (9, None, datetime(2024, 1, 2)), (9, "pending", None)]
     df = spark.createDataFrame(data, "g int, v string, t timestamp_ntz")
