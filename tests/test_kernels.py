@@ -25,6 +25,19 @@ def test_planted_skew_is_found(angle):
         assert abs(P.skew_estimates(level)["projection"]) <= 0.6
 
 
+def test_named_measures_equal_those_of_all(text_page):
+    """page_decisions reads a part of the measures, and pays for that part only."""
+    from scanloom.operators import pages as O
+
+    names = ["agreed", "noise", "text_share", "hough", "text_confidence", "page_hash"]
+    for page in (text_page, X.rotate(text_page, 90), P.synthetic(200, 280, 6, seed=4), np.full((60, 50), 255, np.uint8), np.repeat(text_page[:90, :80, None], 3, -1)):
+        every, some = O.all_measures(page), O.all_measures(page, names)
+        votes = every["votes"]
+        assert set(some) == set(names) and "agreed" not in every
+        assert some.pop("agreed") == (votes[0] if len(set(votes)) == 1 else 0)
+        assert all(every[n] == x for n, x in some.items())
+
+
 def test_small_skew_is_left(text_page):
     assert P.deskew(text_page, 2.9) is text_page
 
