@@ -192,6 +192,17 @@ def test_pages_in_spark(spark):
     assert (7, 2) in parts and (8, 1) in parts
     broken = made.select("id", F.struct(F.lit("x").alias("origin"), F.lit(3).alias("height"), F.lit(3).alias("width"), F.lit(1).alias("nChannels"), F.lit(0).alias("mode"), F.lit(b"ab").alias("data")).alias("image")).limit(1)
     assert P.decide(P.measure(broken)).first()["status"] == "failed"
+
+
+def test_few_measures_make_few_decisions(spark):
+    """page_recovery reads four measures: no others are computed, and what is decided by them is what all of them decide."""
+    made = P.synthetic_pages(spark.range(7, 11).withColumnRenamed("id", "k"), "k")
+    some, every = P.decide(P.measure(made, only=("text_density", "white_share", "projection", "pages"))), P.decide(P.measure(made))
+    assert some.schema["measures"].dataType.names == ["white_share", "text_density", "projection", "pages"] and "document_type" not in some.columns
+    read = ("k", "is_blank", "status", "measures.projection", "measures.pages")
+    assert sorted(some.select(*read).collect()) == sorted(every.select(*read).collect())
+    with pytest.raises(ValueError):
+        P.measure(made, only=("no_such",))
     done = P.correct(broken.unionByName(made.where("id = 2").select("id", "image")), ["skew", "crop"]).collect()
     assert sorted(str(sorted(r.outcome.items())) for r in done) == ["[('crop', 'completed'), ('skew', 'completed')]", "[('crop', 'skipped'), ('skew', 'skipped')]"]
 
