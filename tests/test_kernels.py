@@ -38,6 +38,18 @@ def test_named_measures_equal_those_of_all(text_page):
         assert all(every[n] == x for n, x in some.items())
 
 
+def test_orientation_stops_at_the_first_two_votes_that_differ(monkeypatch):
+    """page_corrections turns a page only if all votes agree."""
+    from scanloom.operators import pages as O
+
+    made = [P.synthetic(200, 280, k % 5 * 6 - 12, seed=k) for k in range(12)]
+    votes = [P.orientation_votes(page) for page in made]
+    assert [P.agreed_rotation(page) for page in made] == [v[0] if len(set(v)) == 1 else 0 for v in votes]
+    early = [page for page, v in zip(made, votes) if v[2] != v[3]]
+    monkeypatch.setattr(P, "_structure", None)
+    assert early and all(O._upright(page) is page for page in early)
+
+
 def test_small_skew_is_left(text_page):
     assert P.deskew(text_page, 2.9) is text_page
 
