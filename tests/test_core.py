@@ -196,6 +196,21 @@ def test_pages_in_spark(spark):
     assert sorted(str(sorted(r.outcome.items())) for r in done) == ["[('crop', 'completed'), ('skew', 'completed')]", "[('crop', 'skipped'), ('skew', 'skipped')]"]
 
 
+def test_metadata_by_field(spark):
+    """page_flags reads three fields of the metadata."""
+    from scanloom.plans import pipeline
+
+    made = P.synthetic_pages(spark.range(7, 10).withColumnRenamed("id", "k"), "k").select("k", "image")
+    fields = ("flags", "advice", "overall")
+    known = pipeline.registry("k")
+    every = pipeline.run(made, ["metadata"], "k", given=known)
+    known.add("metadata", pipeline.described(fields=fields, keep_image=False))
+    some = pipeline.run(made, ["metadata"], "k", given=known)
+    assert some.schema["metadata"].dataType.names == list(fields) and "image" not in some.columns
+    read = ("k", "state", *(f"metadata.{n}" for n in fields))
+    assert sorted(some.select(*read).collect(), key=lambda r: r.k) == sorted(every.select(*read).collect(), key=lambda r: r.k)
+
+
 def test_few_measures_make_few_decisions(spark):
     """page_recovery reads four measures: no others are computed, and what is decided by them is what all of them decide."""
     made = P.synthetic_pages(spark.range(7, 11).withColumnRenamed("id", "k"), "k")
